@@ -9,10 +9,12 @@ such pieces in earlier tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +28,79 @@ from kelpie.llm.common import Scratch, prepare
 #: beginning of a run of spaces: each such part of a text is encoded by itself.
 PART = re.compile(r" *[^ ]+| +")
 CACHE, LONG = 600_000, 64
+#: Fixed value: the words of byte-level BPE.
+WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A token the files of this kind have, which stands between parts that are encoded together.
+SEPARATOR = "<|endoftext|>"
 NODES = 20_000
 _encoders: dict = {}
 
 
+def _bytes_of() -> dict[str, int]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _fast(path: str):
+    """An encoder of many texts at once for byte-level BPE files whose ids are merge ranks; None for other files."""
+    spec = json.loads(Path(path).read_text())
+    pre, kind = spec.get("pre_tokenizer") or {}, spec["model"]
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if kind.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or SEPARATOR not in special:
+        return None
+    import tiktoken
+
+    of = _bytes_of()
+    ranks = {bytes(of[c] for c in k): i for k, i in kind["vocab"].items() if k not in special}
+    enc = tiktoken.Encoding(path, pat_str=WORD, mergeable_ranks=ranks, special_tokens=special)
+    end = special[SEPARATOR]
+
+    def run(parts: list[str]) -> list[bytes]:
+        ids = enc.encode_to_numpy(SEPARATOR.join(parts), allowed_special="all").astype("<u4")
+        cut, x = (np.flatnonzero(ids == end) * 4).tolist(), ids.tobytes()
+        return [x[i:j] for i, j in zip([0, *(c + 4 for c in cut)], [*cut, len(x)], strict=True)]
+
+    return run
+
+
 def _encoder(path: str):
+    """The tokenizer, a faster encoder of plain parts that gives its ids, and the cache of parts."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        probe = ["a b", "a  b", "a \n b", "x\n\n y", " \t z ", "it's 10 "]
+        slow = lambda parts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        probe = ["a b", "a  b", "a \n b", "x\n\n y", " \t z ", "it's 10, ", "Äpfel—l'été 日本 🙂\r\n", " \x00\u00a0 x\u3000"]
         for t in probe:
-            parts = [i for e in tok.encode_batch(PART.findall(t), add_special_tokens=False) for i in e.ids]
-            if parts != tok.encode(t, add_special_tokens=False).ids:
+            if b"".join(slow(PART.findall(t))) != slow([t])[0]:
                 raise ValueError(f"{path} joins tokens across spaces")
-        _encoders[path] = tok, {}
+        parts = sorted({k for t in probe for k in PART.findall(t)})
+        fast = _fast(path)
+        if fast is None or fast(parts) != slow(parts):
+            fast = slow
+        _encoders[path] = slow, fast, {}
     return _encoders[path]
 
 
 def encode(path: str, texts: list) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tok, cache = _encoder(path)
-    out = []
-    for t in texts:
-        keys = PART.findall(t) if t else []
-        try:
-            out.append(b"".join(map(cache.__getitem__, keys)))
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list({k for k in keys if k not in cache})
-            got = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            out.append(b"".join(got[k] if (v := cache.get(k)) is None else v for k in keys))
-            cache.update({k: v for k, v in got.items() if len(k) <= LONG})
+    """Ids of each text as little-endian unsigned 32-bit numbers; parts that no cache has are encoded together."""
+    slow, fast, cache = _encoder(path)
+    keys = [PART.findall(t) if t else [] for t in texts]
+    if len(cache) > CACHE:
+        cache.clear()
+    new = list(set().union(*keys).difference(cache))
+    if new:
+        odd = [k for k in new if "<|" in k]
+        plain = [k for k in new if "<|" not in k]
+        cache.update(zip(plain, fast(plain) if plain else [], strict=True))
+        cache.update(zip(odd, slow(odd) if odd else [], strict=True))
+    out = [b"".join(map(cache.__getitem__, k)) for k in keys]
+    for k in new:
+        if len(k) > LONG:
+            del cache[k]
     return out
 
 

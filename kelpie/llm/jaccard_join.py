@@ -13,8 +13,10 @@ text to every region. So the regions are made in two levels:
    twice the threshold of another pivot's border, by the triangle inequality, is copied there; recursively.
 
 As components are asked for, a leaf yields a spanning forest of the pairs within the L1 bound, not all of them. Those
-are verified on the whole sets. Where some fail, their regions yield all remaining pairs between different components,
-which are verified too; so no link between different components is lost, and none that isn't verified is used.
+are verified on the whole sets. The forests of all regions fall into families, each set in one: two linked sets are in
+the same. Where a pair of a family fails, the family's sets meet once more, whole, and a forest of verified links is
+grown between the components it has so far; so no link between different components is lost, and none that isn't
+verified is used.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ BINS = 64
 BUCKETS = 1 << 20
 CHUNK = 1 << 14
 #: Sets in a region that isn't split by pivots; sets in a region that one task gets.
-LEAF, REGION = 512, 4096
+LEAF, REGION = 512, 2048
 SEEN = 1 << 20
-FILTER_BITS = 1 << 23
+FILTER_BITS, CELL_BITS = 1 << 23, 1 << 25
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -160,61 +162,127 @@ def _split(n: np.ndarray, sk: np.ndarray, own: np.ndarray, low: int) -> list[tup
     return [e for k in range(inside.shape[1]) for e in _split(n, sk, own[inside[:, k]], low)]
 
 
-def _pairs(n, sk, own, comp, low: int) -> list[tuple[int, int]]:
-    out = []
-    for k in range(len(own) - 1):
-        js = own[k + 1 :][comp[own[k + 1 :]] != comp[own[k]]]
-        out += [(int(own[k]), v) for v in js[_near(n, sk, int(own[k]), js, low)].tolist()]
-    return out
-
+def _regions(low: int):
+    """Rows (region, id, n, sketch), sorted by region, to pairs (a, b)."""
 
-def _regions(low: int, every: bool):
-    """Rows (region, id, n, sketch, comp), sorted by region, to pairs (region, a, b)."""
-
-    def flush(r, ids, n, sk, comp) -> Iterator[pa.RecordBatch]:
+    def flush(r, ids, n, sk) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        size = np.diff(np.r_[at, len(r)])
-        ra, aa, bb = [], [], []
-        two = at[size == 2]  # most regions have two sets
-        if len(two):
-            a, b = n[two], n[two + 1]
-            ok = (100 * np.minimum(a, b) >= low * np.maximum(a, b)) & ((100 + low) * np.abs(sk[two] - sk[two + 1]).sum(1, dtype=np.int64) <= (100 - low) * (a + b))
-            ok &= (ids[two] != ids[two + 1]) & (comp[two] != comp[two + 1])
-            two = two[ok]
-            ra, aa, bb = [r[two]], [ids[two]], [ids[two + 1]]
-        for s, m in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        aa, bb = [], []
+        for s, m in zip(at.tolist(), np.diff(np.r_[at, len(r)]).tolist(), strict=True):
             own = np.arange(s, s + m)
             own = own[np.unique(ids[own], return_index=True)[1]]
-            edges = _pairs(n, sk, own, comp, low) if every else _split(n, sk, own, low)
+            edges = _split(n, sk, own, low)
             if edges:
                 e = np.array(edges)
-                ra.append(r[e[:, 0]])
                 aa.append(ids[e[:, 0]])
                 bb.append(ids[e[:, 1]])
-        if ra:
-            a, b = np.concatenate(aa), np.concatenate(bb)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ra)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["region", "a", "b"])
+        if aa:
+            yield _ordered(np.concatenate(aa), np.concatenate(bb))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sk = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)]
-            now = [cols[0], cols[1], cols[2], sk, cols[3]]
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), _sketches(batch.column(3))]
             rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            r = rest[0]
-            cut = int(np.searchsorted(r == r[-1], True)) if r[0] != r[-1] else 0
+            cut = int((rest[0] == rest[0][-1]).argmax())
             if cut:
                 yield from flush(*[x[:cut] for x in rest])
                 rest = [x[cut:] for x in rest]
-        if rest is not None and len(rest[0]):
+        if rest is not None:
             yield from flush(*rest)
 
     return run
 
 
+def _sketches(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _couples(low: int):
+    """Rows (a, n, sketch, b, n, sketch), for regions of two sets, to pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, n, b, m = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+                d = np.abs(_sketches(batch.column(2)) - _sketches(batch.column(5))).sum(1, dtype=np.int64)
+                ok = (a != b) & (100 * np.minimum(n, m) >= low * np.maximum(n, m)) & ((100 + low) * d <= (100 - low) * (n + m))
+                yield _ordered(a[ok], b[ok])
+
+    return run
+
+
+def _among(bits):
+    """Rows (cell, cls) whose cell passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            p = batch.column(0).to_numpy() & (CELL_BITS - 1)
+            yield batch.filter(pa.array((on[p >> 3] >> (p & 7) & 1).astype(bool)))
+
+    return run
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements of both of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
+
+
+def _families(low: int):
+    """Rows (region, id, comp, items), sorted by region, to verified links (a, b) that join all components that links join."""
+
+    def forest(ids: list, comps: list, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        n = np.array([len(s) for s in sets])
+        wide = 4 * BINS
+        sk = np.stack([np.minimum(np.bincount((s.view(U) >> U(56)).astype(np.int64), minlength=wide), 255) for s in sets]).astype(np.int16)
+        label = np.unique(np.array(comps), return_inverse=True)[1]
+        links = []
+        for i in range(len(sets) - 1):
+            js = np.arange(i + 1, len(sets))
+            js = js[label[js] != label[i]]
+            if not len(js):
+                continue
+            for j in js[_near(n, sk, i, js, low)].tolist():
+                if label[j] != label[i]:
+                    both = _common(sets[i], sets[j])
+                    if 100 * both >= low * (int(n[i] + n[j]) - both):
+                        links.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict = {"region": None}
+
+        def flush() -> list[tuple[int, int]]:
+            return forest(rest["ids"], rest["comps"], rest["sets"]) if rest["region"] is not None else []
+
+        for batch in batches:
+            links = []
+            for r, i, c, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if r != rest["region"]:
+                    links += flush()
+                    rest = {"region": r, "ids": [], "comps": [], "sets": []}
+                rest["ids"].append(i)
+                rest["comps"].append(c)
+                rest["sets"].append(s.values.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+        links = flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").astype(bool)
@@ -222,17 +290,16 @@ def _sets(width: int, wanted):
             hit = bits[batch.column(2).to_numpy()]
             if hit.any():
                 part = batch.filter(pa.array(hit))
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1), width)]
+                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
     return run
 
 
-def _bits(ids: DataFrame) -> bytes:
-    """A filter of fixed size (1 MB) that ids pass, for a scan that would otherwise shuffle all texts."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
-    rows = ids.select(at.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    out = bytearray(FILTER_BITS // 8)
+def _bits(rows: DataFrame, at, size: int) -> bytes:
+    """A filter of a fixed size (1 or 4 MB) with the bits at: for scans that would otherwise shuffle what they read."""
+    rows = rows.select((at + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    out = bytearray(size // 8)
     for r in rows.collect():
         out[(r.k - 1) * 4096 : r.k * 4096] = r.bits
     return bytes(out)
@@ -257,38 +324,41 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long"), "cells")
     h = F.xxhash64("cls")
     met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("s"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    kept = met.groupBy("m", "x", "s").agg(F.min("cell").alias("cell"))  # regions with the same sets count once
-    parts = F.ceil(F.col("m") / F.lit(REGION)).cast("int")
-    members = cells.join(kept.select("cell", parts.alias("parts")), "cell").join(classes, "cls")
+    # regions with the same sets count once; those of two sets are known by their least and greatest
+    kept = scratch.save(met.groupBy("m", "x", "s").agg(F.min("cell").alias("cell"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "kept")
+    one, two = (classes.select(F.col("cls").alias(c), F.col("id").alias(f"i_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("lo", "hi"))
+    couples = kept.where("m = 2").select("lo", "hi").distinct().join(one, "lo").join(two, "hi").select("i_lo", "n_lo", "s_lo", "i_hi", "n_hi", "s_hi").mapInArrow(_couples(low), "a long, b long")
+
+    many = kept.where("m > 2").select("cell", F.ceil(F.col("m") / F.lit(REGION)).cast("int").alias("parts"))
+    bits = spark.sparkContext.broadcast(_bits(many, F.col("cell").bitwiseAND(CELL_BITS - 1), CELL_BITS))
+    members = cells.mapInArrow(_among(bits), "cell long, cls long").join(many, "cell").join(classes, "cls")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     # A region too large for one task is dealt out by pairs of parts, each of which gets the sets of both.
     pair = F.when(F.col("parts") == 1, F.array(F.col("cell"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("cell", F.least(k, part), F.greatest(k, part))))
-    members = scratch.save(members.select(F.explode(pair).alias("region"), "id", "n", "sketch"), "members")
-    dealt = lambda df: df.repartition("region").sortWithinPartitions("region", "id")
-    edges = scratch.save(dealt(members.select("region", "id", "n", "sketch", F.col("id").alias("comp"))).mapInArrow(_regions(low, False), "region long, a long, b long"), "edges")
-    scratch.drop("cells")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = spark.sparkContext.broadcast(_bits(ids))
-        at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-        read = docs.where("doc_id is not null").select("doc_id", "text", at.alias("p")).mapInArrow(_sets(width, wanted), "id long, items array<long>")
-        sets = scratch.save(read.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"sets-{tag}")
-        one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), f"links-{tag}")
-
-    pairs = scratch.save(edges.select("a", "b").distinct(), "pairs")
-    links = verified(pairs, "forest")
+    members = members.select(F.explode(pair).alias("region"), "id", "n", "sketch")
+    edges = members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_regions(low), "a long, b long")
+    pairs = scratch.save(couples.unionByName(edges).distinct(), "pairs")
+    scratch.drop("cells", "kept")
+
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
+    wanted = spark.sparkContext.broadcast(_bits(ids, at, FILTER_BITS))
+    read = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").select("id", "text", at.alias("p")).mapInArrow(_sets(width, wanted), "id long, items array<long>")
+    sets = scratch.save(read.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), "links")
     comps = components(scratch, links.where("linked"), "cc-a")
-    failed = links.where("not linked")
-    if not failed.isEmpty():
-        again = members.join(edges.join(failed, ["a", "b"]).select("region").distinct(), "region")
-        again = again.join(comps, "id", "left").select("region", "id", "n", "sketch", F.coalesce("component_id", "id").alias("comp"))
-        more = dealt(again).mapInArrow(_regions(low, True), "region long, a long, b long").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = verified(scratch.save(more, "more"), "more")
-        links = links.unionByName(more)
-        comps = components(scratch, links.where("linked"), "cc-b")
+    if not links.where("not linked").isEmpty():
+        family = components(scratch, pairs, "cc-f")
+        failed = links.where("not linked").join(family, F.col("a") == F.col("id")).groupBy("component_id").agg(F.count("*").alias("failed"))
+        own_family = family.join(failed, "component_id").select("id", F.col("component_id").alias("family"))
+        size = own_family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(REGION)).cast("int").alias("parts"))
+        rows = own_family.join(size, "family").join(comps, "id", "left").select("family", "parts", "id", F.coalesce("component_id", "id").alias("comp"))
+        pair = F.when(F.col("parts") == 1, F.array(F.col("family"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("family", F.least(k, part), F.greatest(k, part))))
+        rows = rows.select(F.explode(pair).alias("region"), "id", "comp").join(sets, "id").select("region", "id", "comp", "items")
+        more = rows.repartition("region").sortWithinPartitions("region", "comp", "id").mapInArrow(_families(low), "a long, b long")
+        comps = components(scratch, scratch.save(links.where("linked").select("a", "b").unionByName(more), "all-links"), "cc-b")
     named = classes.join(comps, "id", "left").select("cls", "n", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     scratch.save(named, "named")
     named = spark.read.schema(named.schema).parquet(f"{scratch.root}/named")

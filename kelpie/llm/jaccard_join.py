@@ -322,10 +322,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     classes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
 
     cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long"), "cells")
-    h = F.xxhash64("cls")
-    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("s"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    # A digest is its own hash: in a region of one set, as most are before they are combined, three columns are equal and compress away.
+    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     # regions with the same sets count once; those of two sets are known by their least and greatest
-    kept = scratch.save(met.groupBy("m", "x", "s").agg(F.min("cell").alias("cell"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "kept")
+    kept = scratch.save(met.groupBy("m", "x", "lo", "hi").agg(F.min("cell").alias("cell")), "kept")
     one, two = (classes.select(F.col("cls").alias(c), F.col("id").alias(f"i_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("lo", "hi"))
     couples = kept.where("m = 2").select("lo", "hi").distinct().join(one, "lo").join(two, "hi").select("i_lo", "n_lo", "s_lo", "i_hi", "n_hi", "s_hi").mapInArrow(_couples(low), "a long, b long")
 

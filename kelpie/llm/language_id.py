@@ -82,7 +82,7 @@ class Model:
                 counts[:, i] += np.bincount(g, np.repeat(times, np.diff(np.r_[at, len(g)])), 3 * BUCKETS)
                 scripts[:, i] += np.bincount(script, times * np.array([len(w) for w in part]), len(NAMES))
         by_order = counts.reshape(3, BUCKETS, n)
-        self.table = np.log((by_order + 0.05) / (by_order.sum(1, keepdims=True) + 0.05 * 4096)).reshape(-1, n).astype(np.float32)
+        self.table = np.log((by_order + 0.05) / (by_order.sum(1, keepdims=True) + 0.05 * 4096)).reshape(3 * BUCKETS, n).astype(np.float32)
         self.may = scripts >= SHARE * np.maximum(scripts.sum(0, keepdims=True), 1)
         self.key = hash(self.table[::97].tobytes())
 
@@ -194,8 +194,8 @@ def _labelled(model, spans: bool):
                 pred.append(lang)
                 score.append(p)
                 if spans:
-                    cut = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]) if len(path) else []
-                    found.append([{"first": int(a), "words": int(b - a), "lang": m.langs[path[a]]} for a, b in zip(cut, [*cut[1:], len(path)], strict=True)])
+                    cut = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]) if len(path) else np.zeros(0, np.int64)
+                    found.append([{"first": int(a), "words": int(b), "lang": m.langs[path[a]]} for a, b in zip(cut, np.diff(np.r_[cut, len(path)]), strict=len(path) > 0)])
             cols = [*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             names = [*batch.schema.names[1:], "lang_pred", "score"]
             if spans:

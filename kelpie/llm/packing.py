@@ -172,8 +172,34 @@ def fill(counts: list[int], room: int, longest: int) -> list[int]:
     return answer[0]
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing on the histogram: equal sequences are one entry with a number."""
+    open_: dict[int, dict[tuple[int, ...], int]] = {}  # by room left
+    for k in sorted((k for k, n in counts.items() if n), reverse=True):
+        n = counts[k]
+        while n:
+            room = min((r for r, x in open_.items() if r >= k and x), default=None)
+            if room is None:
+                each = capacity // k
+                for size, times in ((each, n // each), (n % each, 1)):
+                    if size and times:
+                        x = open_.setdefault(capacity - k * size, {})
+                        x[(k,) * size] = x.get((k,) * size, 0) + times
+                break
+            got, times = next(iter(open_[room].items()))
+            took = min(times, n)
+            n -= took
+            if took == times:
+                del open_[room][got]
+            else:
+                open_[room][got] -= took
+            x = open_.setdefault(room - k, {})
+            x[(*got, k)] = x.get((*got, k), 0) + took
+    return [(list(got), times) for x in open_.values() for got, times in x.items()]
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Fillings (lengths, longest first) and how many sequences have each."""
+    """Fillings (lengths, longest first) and how many sequences have each; best fit stands where completion takes more."""
     left, out = [counts.get(k, 0) for k in range(capacity + 1)], []
     for k in range(capacity, 0, -1):
         while left[k]:
@@ -185,7 +211,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
             for x, n in need.items():
                 left[x] -= n * times
             out.append((got, times))
-    return out
+    other = best_fit(counts, capacity)
+    return min(out, other, key=lambda p: sum(times for _, times in p))
 
 
 def _places(filled: list[tuple[list[int], int]], capacity: int) -> np.ndarray:

@@ -17,15 +17,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_json(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """Records of a JSON array or of JSON lines, with their order in ord; no rows where there is no file.
 
-    tolerant: what can't be parsed is dropped; otherwise it is an error.
+    tolerant: a file that isn't a JSON array has no rows; otherwise it is an error.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("ord", F.lit(0).cast("long"))
     if not tolerant:
         rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     else:
-        rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        rows = rows.where("_corrupt is null").drop("_corrupt")
+        whole = spark.read.option("wholetext", True).text(path)
+        rows = whole.select(F.inline(F.from_json("value", f"array<struct<{schema}>>")))
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 

@@ -1,4 +1,4 @@
-"""Retrieval end to end, one lazy plan for a batch of queries: plan, route, search twice, fuse, pool, cap, rerank."""
+"""Retrieval end to end for a batch of queries: plan, route, search twice, fuse, pool, cap, rerank."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kelpie import config, providers
 from kelpie.functions import text as T
 from kelpie.operators import fusion, lexical, rerank, routing, vector
+from kelpie.plans import stages
 
 
 @dataclass
@@ -53,11 +54,11 @@ def retrieve(queries: DataFrame, index: Index, n: int = config.ANSWER_N, planner
     encode = encode or providers.hashed_bag()
     planned = planner(queries)
     sub = planned.select("query_id", F.posexplode("plan.sub_queries").alias("sub_pos", "query")).withColumn("parent", F.col("query_id")).withColumn("query_id", F.struct("parent", "sub_pos").cast("string"))
-    bases = routing.base_to_ids(index.products())
+    bases = stages.cut(routing.base_to_ids(index.products()))
     matched = routing.route(routing.longest_match(sub, bases))
     ids = routing.series_ids(matched, bases)
     matched = matched.join(ids, "query_id", "left").withColumn("pids", F.when(F.col("collection") == "product_collection", F.coalesce("pids", F.array())).otherwise(F.array()).cast("array<string>"))
-    matched, chunks = scoped(index, matched)
+    matched, chunks = scoped(index, stages.cut(matched))  # every branch below reads the batch of questions
     each = config.CANDIDATES * config.OVERFETCH
     v = vector.cosine(matched.select("query_id", encode("query").alias("embedding"), "scope"), chunks, each, "scope")
     b = lexical.bm25(matched.select("query_id", "query", "scope"), chunks, each, F.col("scope"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -19,3 +20,14 @@ def run(spark: SparkSession, stages: list[tuple[str, Callable[[], object]]]) ->
             error = f"{type(e).__name__}: {e}"[:500]
         rows.append((name, error is None, time.monotonic() - began, error))
     return spark.createDataFrame(rows, "stage string, ok boolean, seconds double, error string")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint, for rows that several branches of a plan read: worked out once, with a short plan.
+
+    Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; to a temporary one where none is named.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kelpie-"))
+    return df.checkpoint()

@@ -293,3 +293,27 @@ def test_pipeline(spark):
         assert d.count() > 0.5 * before, name
         if name != "packing":
             assert d.columns == p.COLUMNS
+
+
+def test_pipeline_odd_rows(spark, docs):
+    """Nulls, empty texts, repeated rows and clashing column names in every stage."""
+    import corpus_pipeline as p
+
+    n = docs.count()
+    kept = p.language(spark, docs, DATA)
+    ids = [r.doc_id for r in kept.collect()]
+    assert not {10_001, 10_002, 10_006} & set(ids) and kept.columns == p.COLUMNS and 0.5 * n < len(ids) < n
+    assert p.good(spark, docs, DATA).columns == p.COLUMNS
+    once = [r.doc_id for r in p.distinct(spark, docs, DATA).collect()]
+    assert len(once) == len(set(once)) and None not in once and {10_001, 10_002, 10_003, 10_005} <= set(once)
+    took = p.mixed(spark, docs.where("doc_id is null or doc_id <> 10003"), DATA)
+    assert took.columns == p.COLUMNS and None not in {r.doc_id for r in took.collect()}
+    assert {r.doc_id for r in p.packed(spark, docs, DATA).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0

@@ -18,7 +18,7 @@ LANGUAGE, QUALITY = 0.25, 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a known language: those without a letter go, and those no language fits."""
+    """Keeps documents of a known language: those without a letter or a text go, and those no language fits."""
     prepare(spark)
     model = language_id.fit(docs.where(remainder(4) != 2))
     return language_id.identify(spark, docs, model, COLUMNS).where(f"lang_pred <> 'und' and score >= {LANGUAGE}").select(*COLUMNS)
@@ -32,20 +32,23 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates (5-word shingles, similarity 0.8)."""
+    """Keeps the document with the smallest doc_id of each group of near-duplicates (5-word shingles, similarity 0.8).
+
+    Texts without words are in no group and stay. Rows that repeat a doc_id are one document; rows without one go.
+    """
     found = jaccard_join.jaccard_components(spark, docs, width=5, low=80)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a document comes as often as the mix takes it, 0 to 3 times."""
+    """Sources in their target shares: a document comes as often as the mix takes it, 0 to 3 times; rows without a doc_id go."""
     took = mixing.mix(spark, docs).where("repeats > 0").select("doc_id", "repeats")
     return docs.join(took, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), "repeats"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens; null and empty texts are one token each."""
     return packing.pack(spark, docs, tokenizer("byte_bpe_50k.json"))
 
 

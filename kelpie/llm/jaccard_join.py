@@ -321,7 +321,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     own = described.where("chunk is null").select("doc_id", "n", "cls", "sketch")
     classes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
 
-    cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long"), "cells")
+    # A task knows its own sets only: a set with copies in several tasks comes once from each, and an even number of them would cancel in x.
+    cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long").dropDuplicates(["cell", "cls"]), "cells")
     # A digest is its own hash: in a region of one set, as most are before they are combined, three columns are equal and compress away.
     met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     # regions with the same sets count once; those of two sets are known by their least and greatest

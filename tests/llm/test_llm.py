@@ -80,6 +80,19 @@ def test_jaccard_families(spark):
     assert got == joined(range(120), links)
 
 
+def test_jaccard_copies_in_two_partitions(spark):
+    """Every text also lies in another partition; each family has two regions with the same least and greatest set."""
+    texts = []
+    for f in range(60):
+        w = [f"f{f}w{k}" for k in range(21)]
+        texts += [w, [f"f{f}x", *w], [*w[:-1], f"f{f}y"], [f"f{f}z", *w[1:]]]
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(240), 2) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    both = [(i + more, " ".join(w)) for more in (0, 240) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark, spark.createDataFrame(spark.sparkContext.parallelize(both, 2), "doc_id long, text string")).collect()}
+    assert got == joined(range(480), links + [(i, i + 240) for i in range(240)])
+
+
 def test_region_split_keeps_every_link():
     rng = np.random.default_rng(0)
     sk = np.concatenate([rng.integers(0, 9, (1, 64)) + rng.integers(0, 2, (60, 64)) for _ in range(30)]).astype(np.int16)

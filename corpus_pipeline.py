@@ -20,7 +20,7 @@ LANGUAGE, QUALITY = 0.25, 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language: those without a letter or a text go, and those no language fits."""
     prepare(spark)
-    model = language_id.fit(docs.where(remainder(4) != 2))
+    model = language_id.fit(docs.where(remainder(4) != 2), reject=True)
     return language_id.identify(spark, docs, model, COLUMNS).where(f"lang_pred <> 'und' and score >= {LANGUAGE}").select(*COLUMNS)
 
 

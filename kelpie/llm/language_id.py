@@ -4,7 +4,8 @@ A word's letters fall into scripts by ranges of code points; only languages that
 candidates. A word's score under a language is its log likelihood over hashed character n-grams of up to 3 with word
 ends. Viterbi over the words, with a penalty for each switch of language, labels spans. A text's language is the one
 that labels most of its letters; its score is the share of letters so labelled, times the odds of those words' scores
-against the next language, as a probability.
+against the next language, as a probability. That compares languages only, so a model may also hold how well its
+learning documents fit; texts that fit none of its languages are then left undetermined.
 
 The n-gram tables are fitted on a bounded sample of documents and have a fixed size for each language.
 """
@@ -31,6 +32,9 @@ _OF = np.array([NAMES.index(s) for _, s in SCRIPTS])
 BUCKETS, PENALTY, FAR = 1 << 17, 12.0, -40.0
 CACHE, LONG = 600_000, 48
 SHARE = 0.02
+#: How far a text's mean log likelihood per n-gram may lie under the lower quartile of its language's learning documents:
+#: SLACK, and for few n-grams NOISE / sqrt(n) more. SCRIPT: least share of letters in words of the language's scripts.
+SLACK, NOISE, SCRIPT = 1.75, 6.0, 0.5
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,9 +66,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """langs; table[bucket, lang] of log likelihoods; may[script, lang]."""
+    """langs; table[bucket, lang] of log likelihoods; may[script, lang]; low[lang], the learning documents' lower quartile of fit, or None."""
 
-    def __init__(self, texts: list[tuple[str, str]]) -> None:
+    def __init__(self, texts: list[tuple[str, str]], reject: bool = False) -> None:
         self.langs = sorted({lang for lang, _ in texts})
         n = len(self.langs)
         counts, scripts = np.zeros((3 * BUCKETS, n)), np.zeros((len(NAMES), n))
@@ -84,7 +88,28 @@ class Model:
         by_order = counts.reshape(3, BUCKETS, n)
         self.table = np.log((by_order + 0.05) / (by_order.sum(1, keepdims=True) + 0.05 * 4096)).reshape(3 * BUCKETS, n).astype(np.float32)
         self.may = scripts >= SHARE * np.maximum(scripts.sum(0, keepdims=True), 1)
-        self.key = hash(self.table[::97].tobytes())
+        self.low = self._lows(texts) if reject else None
+        self.key = hash((self.table[::97].tobytes(), reject))
+
+    def _lows(self, texts: list[tuple[str, str]]) -> np.ndarray:
+        low = np.full(len(self.langs), -np.inf)
+        for i, lang in enumerate(self.langs):
+            at: dict[str, int] = {}
+            docs = [np.array([at.setdefault(w, len(at)) for w in WORD.findall(t.lower())], np.int32) for own, t in texts if own == lang and t]
+            words = list(at)
+            parts = [self.fits(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
+            if parts:
+                fit, n, ok = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                fit, n = np.where(ok[:, i], fit[:, i], 0.0), np.where(ok[:, i], n, 0)
+                means = [fit[k].sum() / n[k].sum() for k in docs if n[k].sum()]
+                if means:
+                    low[i] = np.quantile(means, 0.25)
+        return low
+
+    def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its log likelihood under each language, its n-grams, and which languages are written in its script."""
+        g, at, script = grams(words)
+        return np.add.reduceat(self.table[g], at, 0), np.diff(np.r_[at, len(g)]), self.may[script]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Of each word under each language, at most 0: what it lacks to the best candidate."""
@@ -146,6 +171,7 @@ class Labeller:
         self.at: dict[str, int] = {}
         self.s = np.zeros((1 << 16, len(self.model.langs)), np.float32)
         self.n = np.zeros(1 << 16, np.int64)
+        self.fit, self.grams, self.ok = np.zeros_like(self.s), np.zeros_like(self.n), np.zeros(self.s.shape, bool)
 
     def _index(self, words: list[str]) -> np.ndarray:
         try:
@@ -157,7 +183,11 @@ class Labeller:
             a, b = len(self.at), len(self.at) + len(new)
             while b > len(self.n):
                 self.s, self.n = np.concatenate([self.s, np.zeros_like(self.s)]), np.concatenate([self.n, np.zeros_like(self.n)])
+                if self.model.low is not None:
+                    self.fit, self.grams, self.ok = (np.concatenate([x, np.zeros_like(x)]) for x in (self.fit, self.grams, self.ok))
             self.s[a:b] = self.model.scores(new)
+            if self.model.low is not None:
+                self.fit[a:b], self.grams[a:b], self.ok[a:b] = self.model.fits(new)
             self.n[a:b] = [sum(map(str.isalpha, w)) for w in new]
             self.at.update(zip(new, range(a, b), strict=True))
             return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
@@ -172,10 +202,20 @@ class Labeller:
         path = viterbi(self.s[k])
         by = np.bincount(path, n, len(self.model.langs))
         best = int(by.argmax())
+        if self.model.low is not None and not self._known(k, path, best, n, total):
+            return "und", 0.0, words, path
         own = self.s[k[path == best]].sum(0, dtype=np.float64)
         margin = own[best] - np.delete(own, best).max() if len(own) > 1 else np.inf
         return self.model.langs[best], float(by[best] / total / (1 + np.exp(-max(margin, 0.0)))), words, path
 
+    def _known(self, k: np.ndarray, path: np.ndarray, best: int, letters: np.ndarray, total: int) -> bool:
+        """Whether the words are in scripts of their languages, and fit them as learning documents do."""
+        ok = self.ok[k, path]
+        if letters[ok].sum() < SCRIPT * total:
+            return False
+        n = self.grams[k[ok]].sum()
+        return self.fit[k[ok], path[ok]].sum(dtype=np.float64) / n >= self.model.low[best] - SLACK - NOISE / np.sqrt(n)
+
 
 _labellers: dict = {}
 
@@ -206,21 +246,24 @@ def _labelled(model, spans: bool):
     return run
 
 
-def fit(learn: DataFrame, each: int = 1500) -> Model:
-    """From rows (doc_id, text, lang): about `each` documents of a language at most, picked by a hash of doc_id."""
+def fit(learn: DataFrame, each: int = 1500, reject: bool = False) -> Model:
+    """From rows (doc_id, text, lang): about `each` documents of a language at most, picked by a hash of doc_id.
+
+    reject: texts that fit no language, by likelihood or script, will be 'und'.
+    """
     learn = learn.where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     picked = F.lit(False)
     for lang, n in counts.items():
         picked = picked | ((F.col("lang") == lang) & (rank < int(1_000_000 * min(1.0, each / n))))
-    return Model([(r.lang, r.text) for r in learn.where(picked).select("lang", "text").collect()])
+    return Model([(r.lang, r.text) for r in learn.where(picked).select("lang", "text").collect()], reject)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
     """Rows (*keep, lang_pred, score) and, if asked for, spans array<struct<first, words, lang>> by word number.
 
-    lang_pred is 'und' with score 0 for null texts and texts without a letter. Rows are neither dropped nor joined.
+    lang_pred is 'und' with score 0 for null texts, texts without a letter and those a model with `reject` rejects. Rows are neither dropped nor joined.
     Texts are read whole; a column named text may be kept too.
     """
     prepare(spark)

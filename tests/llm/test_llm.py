@@ -324,6 +324,19 @@ def test_pipeline_odd_rows(spark, docs):
     assert {r.doc_id for r in p.packed(spark, docs, DATA).collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_rejects_what_no_language_fits(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (8, 40, 400)]
+    foreign = ["Привет, мир! Это текст на русском языке.", "東京は日本の首都です。", "สวัสดีชาวโลก นี่คือข้อความ", "wszystkie zwierzęta są równe ale niektóre są równiejsze od innych"]
+    own = spark.read.parquet(f"{DATA}/documents.parquet").select(*p.COLUMNS)
+    planted = spark.createDataFrame([(20_002 + k, t, None, "x", len(t)) for k, t in enumerate(noise + foreign)], own.schema)
+    kept = {r.doc_id for r in p.language(spark, own.unionByName(planted), DATA).collect()}
+    assert not {i for i in kept if i >= 20_000}
+    assert kept == {r.doc_id for r in own.where("text rlike '[a-zA-Z]'").collect()}
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     import corpus_pipeline as p
 

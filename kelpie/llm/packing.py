@@ -1,15 +1,17 @@
 """Best-fit packing of documents into sequences, by bin completion on the histogram of piece lengths.
 
 Pieces of one length are interchangeable, so the packing is found for the histogram alone: at most `capacity` counts
-on the driver, whatever the input. Bin completion opens a sequence with the longest piece left, searches the fillings
-of the room behind it by branch and bound, and repeats the filling as often as the counts allow. A piece then finds
-its place by its rank among those of its length: its rank in its task, which is written with it, and the number of
-such pieces in earlier tasks.
+on the driver, whatever the input. Best fit is the first incumbent. Bin completion (Martello and Toth, 1990; Korf,
+2003) then completes a sequence around the longest piece left, by each undominated filling of the room behind it and
+as often as the counts allow, prunes by the waste that can still beat the incumbent and by a lower bound, and goes
+back. A piece then finds its place by its rank among those of its length: its rank in its task, which is written with
+it, and the number of such pieces in earlier tasks.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import zlib
@@ -32,8 +34,10 @@ CACHE, LONG = 600_000, 64
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A token the files of this kind have, which stands between parts that are encoded together.
 SEPARATOR = "<|endoftext|>"
+#: Steps of the search for fewer sequences than best fit takes.
 NODES = 20_000
 _encoders: dict = {}
+LOG = logging.getLogger(__name__)
 
 
 def _bytes_of() -> dict[str, int]:
@@ -127,49 +131,85 @@ def _cut(path: str, capacity: int, end: int):
     return run
 
 
-def fill(counts: list[int], room: int, longest: int) -> list[int]:
-    """The lengths, longest first, that fill room best from counts; a branch ends when what is left can't beat the incumbent.
+def _reach(sizes: list[int], left: list[int], room: int) -> list[int]:
+    """For each i a bit set of the sums up to room that sizes[i:] can have."""
+    keep, out = (1 << (room + 1)) - 1, [1]
+    for k in reversed(sizes):
+        x, n, step = out[-1], min(left[k], room // k), 1
+        while n > 0:  # binary parts of a bounded count
+            m = min(step, n)
+            x |= (x << (k * m)) & keep
+            n, step = n - m, 2 * step
+        out.append(x)
+    return out[::-1]
 
-    The incumbent is the best-fit filling. Fillings are met with long lengths first; of equal waste the first stays,
-    which no filling of fewer, longer pieces dominates. After NODES nodes the incumbent stands.
+
+def _spread(x: int, r: int) -> int:
+    """Bits of x and those up to r above each."""
+    done = 0
+    while done < r:
+        step = min(done + 1, r - done)
+        x |= x << step
+        done += step
+    return x
+
+
+def _dominated(took: list[int], left: list[int], spare: int, waste: int) -> bool:
+    """Whether a piece that is left over can take the place of smaller pieces of a filling, or join it.
+
+    spare: a bit set of the sizes that are left. A piece may stand for one smaller piece, or for several that are not
+    larger together; the packing that results from the exchange is no worse.
     """
-    sizes = [k for k in range(min(room, longest), 0, -1) if counts[k]]
-    best, left = [], room
-    for k in sizes:
-        n = min(counts[k], left // k)
-        best += [k] * n
-        left -= n * k
-    least, nodes = [left], [0]
-    answer = [best]
-    after = [0] * (len(sizes) + 1)  # what all the shorter ones come to
-    for i in range(len(sizes) - 1, -1, -1):
-        after[i] = after[i + 1] + sizes[i] * counts[sizes[i]]
-
-    def go(i: int, left: int, took: list[int]) -> None:
-        if left < least[0]:
-            least[0], answer[0] = left, list(took)
-        while i < len(sizes) and least[0] and nodes[0] < NODES:
-            if sizes[i] > left:  # the next that fits, in one step
-                lo, hi = i, len(sizes)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if sizes[mid] > left else (lo, mid)
-                i = lo
-                if i == len(sizes):
-                    return
-            if left - after[i] >= least[0]:
-                return
-            nodes[0] += 1
+    one = two = 0
+    for k in took:
+        two |= two << k | one << k
+        one |= 1 << k
+        if left[k] <= took.count(k):
+            spare &= ~(1 << k)
+    better = _spread(two, waste)
+    if waste:
+        better |= _spread(one, waste - 1) << 1 | _spread(1, waste - 1) << 1
+    return bool(spare & better)
+
+
+def fillings(left: list[int], room: int, longest: int, most: int) -> Iterator[tuple[int, list[int]]]:
+    """The undominated fillings of room from left with a waste up to most: (waste, lengths, longest first).
+
+    Those of less waste come first, and of equal waste those with the longer pieces. None stands for a filling that was
+    dominated, so that whoever counts steps can count it.
+    """
+    sizes = [k for k in range(min(room, longest), 0, -1) if left[k]]
+    reach = _reach(sizes, left, room)
+    spare = sum(1 << k for k in sizes)
+
+    def go(i: int, sum_: int) -> Iterator[list[int]]:
+        if not sum_:
+            yield []
+        while sum_ and i < len(sizes) and reach[i] >> sum_ & 1:
             k = sizes[i]
-            for n in range(min(counts[k], left // k), 0, -1):
-                go(i + 1, left - n * k, took + [k] * n)
-                if not least[0]:
-                    return
             i += 1
-
-    if left:
-        go(0, room, [])
-    return answer[0]
+            for n in range(min(left[k], sum_ // k), 0, -1):
+                if reach[i] >> (sum_ - n * k) & 1:
+                    for rest in go(i, sum_ - n * k):
+                        yield [k] * n + rest
+
+    for waste in range(min(most, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for took in go(0, room - waste):
+                yield waste, None if _dominated(took, left, spare, waste) else took
+
+
+def bound(counts: list[int], capacity: int) -> int:
+    """A lower bound of the sequences (Martello and Toth's L2): pieces over capacity - t need one each, unshared with those of t and more."""
+    n = np.array(counts, np.int64)
+    size = n * np.arange(capacity + 1)
+    many, total = np.cumsum(n[::-1])[::-1], np.cumsum(size[::-1])[::-1]  # pieces of a length and more, and their sum
+    half = capacity // 2 + 1
+    t = np.arange(1, half)
+    small = total[t] - total[half]  # of t up to half the capacity
+    middle, room = many[half] - many[capacity - t + 1], (many[half] - many[capacity - t + 1]) * capacity - (total[half] - total[capacity - t + 1])
+    more = -(-np.maximum(small - room, 0) // capacity)
+    return int(max((many[capacity - t + 1] + middle + more).max(initial=0), many[half], -(-int(total[1]) // capacity)))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -198,21 +238,65 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int
     return [(list(got), times) for x in open_.values() for got, times in x.items()]
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Fillings (lengths, longest first) and how many sequences have each; best fit stands where completion takes more."""
-    left, out = [counts.get(k, 0) for k in range(capacity + 1)], []
-    for k in range(capacity, 0, -1):
-        while left[k]:
-            left[k] -= 1
-            got = [k, *fill(left, capacity - k, k)]
-            left[k] += 1
-            need = {x: got.count(x) for x in set(got)}
+def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[list[tuple[list[int], int]], int]:
+    """Fillings (lengths, longest first) with how many sequences have each, and a lower bound of the sequences.
+
+    Branch and bound over sequences, best fit as the first incumbent. A node gives the longest piece left an undominated
+    filling, as often as the counts allow and then less often; fillings of one longest piece are taken in their own
+    order, so no set of them is met twice. A branch ends when its waste, or the bound of what is left, can't beat the
+    incumbent. The search ends with the fewest sequences there can be, or after `nodes` steps; the bound tells the gap.
+    """
+    left = [counts.get(k, 0) for k in range(capacity + 1)]
+    total = sum(k * n for k, n in enumerate(left))
+    least, best = bound(left, capacity), best_fit(counts, capacity)
+    fewest = sum(times for _, times in best)
+    stack: list[list] = []  # sequences before, waste before, longest, its fillings, the order's key, what it takes, how often
+
+    def descend(used: int, rest: int, after: tuple) -> None:
+        """A node for what is left: used sequences are made, rest is the sum of the lengths left."""
+        nonlocal best, fewest
+        k = next((k for k in range(stack[-1][2] if stack else capacity, 0, -1) if left[k]), 0)
+        if not k:
+            if used < fewest:
+                best, fewest = [(took, times) for *_, took, times in stack], used
+            return
+        most = (fewest - 1 - used) * capacity - rest
+        if most < 0 or used + bound(left, capacity) >= fewest:
+            return
+        left[k] -= 1
+        found = fillings(left.copy(), capacity - k, k, most)
+        left[k] += 1
+        stack.append([used, rest, k, found, after if stack and stack[-1][2] == k else (), None, 0])
+
+    if least < fewest:
+        descend(0, total, ())
+    while stack and fewest > least and nodes > 0:
+        nodes -= 1
+        used, rest, k, found, after, took, times = stack[-1]
+        if times:  # once less
+            for x in took:
+                left[x] += 1
+            stack[-1][6] = times = times - 1
+        if not times:
+            waste, more = next(found, (0, ()))
+            if more is None:
+                continue
+            if more == () or (fewest - 1 - used) * capacity - rest < waste:
+                stack.pop()
+                continue
+            key = (waste, [-x for x in more])
+            if after and key <= after:
+                continue
+            took = [k, *more]
+            need = {x: took.count(x) for x in set(took)}
             times = min(left[x] // n for x, n in need.items())
+            if waste:
+                times = min(times, ((fewest - 1 - used) * capacity - rest) // waste)
             for x, n in need.items():
                 left[x] -= n * times
-            out.append((got, times))
-    other = best_fit(counts, capacity)
-    return min(out, other, key=lambda p: sum(times for _, times in p))
+            stack[-1][4:] = [after, took, times]
+        descend(used + times, rest - times * sum(took), (capacity - sum(took), [-x for x in took[1:]]))
+    return best, least
 
 
 def _places(filled: list[tuple[list[int], int]], capacity: int) -> np.ndarray:
@@ -244,7 +328,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 1024,
 
     A document is its ids and then `end`; null and empty texts are `end` alone. Longer ones than capacity are cut into
     pieces of capacity, the first of which may be shorter. Repeated rows are packed as often as they come; a null
-    doc_id stays null; other columns are ignored. Texts are read whole.
+    doc_id stays null; other columns are ignored. Texts are read whole. The sequences made, and how many are needed at
+    least, are logged.
     """
     prepare(spark)
     scratch = Scratch(spark, "pack")
@@ -253,6 +338,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 1024,
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(_places(plan(counts, capacity), capacity))
+    filled, least = plan(counts, capacity)
+    LOG.info("%d sequences, at least %d are needed", sum(times for _, times in filled), least)
+    table = spark.sparkContext.broadcast(_places(filled, capacity))
     ranked = pieces.join(before.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -6,8 +6,10 @@ repair with the least total cost is found, and rendered.
 
 The program's state is the role of the last turn made, so a stretch of turns is a small matrix of least costs from
 state to state, and such matrices compose. Conversations up to BLOCK turns are one stretch. Longer ones, which may
-hold a large part of all rows, are dealt out in order by range, cut into blocks, and only their matrices meet, after
-which each block is repaired between the states it was given.
+hold a large part of all rows, are dealt out in order by range and cut into blocks. Their matrices meet and give each
+block the least costs at its entry; with these a block makes the same choices as one pass over the whole conversation
+would, so rows don't depend on the blocks. What each exit state leads back to meets once more, and then each block is
+repaired from its exit.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from kelpie.llm.common import Scratch, prepare
 
 MERGE, INSERT, RELABEL = 1, 2, 3
 BLOCK = 4096
-#: States: nothing yet, and the last turn's role.
-START, ROLES = 0, ("system", "user", "assistant")
+#: The role of a state from 1 on; state 0 is that of no turn yet.
+ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 NEXT = {0: {1, 2}, 1: {2}, 2: {3}, 3: {2}}
 FAR = 1 << 40
+#: Least costs by state before the first turn.
+ENTRY = (0, FAR, FAR, FAR)
 
 
 def canonical(role: str | None) -> int:
@@ -73,10 +77,9 @@ def matrix(roles: list[int]) -> np.ndarray:
     return m
 
 
-def repair(roles: list[int], entry: int = START, ends: tuple[int, ...] = (2, 3)) -> list[tuple[int, int, int, str, int]]:
-    """The moves of a cheapest repair from a state to one of the ends; system alone may end if nothing else can."""
-    cost = [FAR] * 4
-    cost[entry] = 0
+def repair(roles: list[int], entry: tuple[int, ...] = ENTRY, ends: tuple[int, ...] = (2, 3)) -> list[tuple[int, int, int, str, int]]:
+    """The moves of a cheapest repair from a state, by least costs at entry, to one of the ends; the earlier of equally cheap moves."""
+    cost = list(entry)
     back = []
     for r in roles:
         new, how = [FAR] * 4, [None] * 4
@@ -96,13 +99,29 @@ def repair(roles: list[int], entry: int = START, ends: tuple[int, ...] = (2, 3))
     return out[::-1]
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seq = TaskContext.get().partitionId(), 0
-    for b in batches:
-        n = b.num_rows
-        at = np.arange(seq, seq + n)
-        seq += n
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array((np.int64(part) << 32) + at // BLOCK), pa.array(at)], names=[*b.schema.names, "block", "seq"])
+def origins(roles: list[int], entry: tuple[int, ...]) -> list[int]:
+    """For each exit state, the state at the entry that repair() to it begins from; -1 where it can't be reached."""
+    cost, origin = list(entry), list(range(4))
+    for r in roles:
+        new, old = [FAR] * 4, [-1] * 4
+        for s, q, c, _, _ in MOVES[r]:
+            if cost[s] + c < new[q]:
+                new[q], old[q] = cost[s] + c, origin[s]
+        cost, origin = new, old
+    return origin
+
+
+def _ranked(block: int):
+    """Numbers sorted rows within their task, and the blocks they fall into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            at = np.arange(seq, seq + b.num_rows)
+            seq += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((np.int64(part) << 32) + at // block), pa.array(at)], names=[*b.schema.names, "block", "seq"])
+
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -138,22 +157,31 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t.column("conv_id")[0].as_py()], pa.int64()), pa.array([t.column("block")[0].as_py()], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=["conv_id", "block", "m"])
 
 
-def _composed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Entry and exit states of a conversation's blocks, on a cheapest path."""
+def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _runs(batches):
+        x = origins([canonical(r) for r in t.column("role").to_pylist()], t.column("entry")[0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([t.column(c)[0].as_py()], pa.int64()) for c in ("conv_id", "block")] + [pa.array([x], pa.list_(pa.int32()))], names=["conv_id", "block", "origins"])
+
+
+def _entered(rows: pd.DataFrame) -> pd.DataFrame:
+    """The least costs at the entry of each of a conversation's blocks, and after the last one the best state to end in."""
     rows = rows.sort_values("block")
-    ms = [np.array(m).reshape(4, 4) for m in rows["m"]]
-    cost, back = np.full(4, FAR), []
-    cost[START] = 0
-    for m in ms:
-        total = cost[:, None] + m
-        back.append(total.argmin(0))
-        cost = total.min(0)
+    cost, entries = np.array(ENTRY), []
+    for m in rows["m"]:
+        entries.append(cost.tolist())
+        cost = np.minimum((cost[:, None] + np.array(m).reshape(4, 4)).min(0), FAR)
     at = min((2, 3), key=lambda s: (cost[s], s))
-    ends = [at]
-    for b in reversed(back):
-        ends.append(int(b[ends[-1]]))
-    ends = ends[::-1]
-    return pd.DataFrame({"conv_id": rows["conv_id"], "block": rows["block"], "entry": ends[:-1], "exit": ends[1:], "last": [False] * (len(ms) - 1) + [True]})
+    return pd.DataFrame({"conv_id": rows["conv_id"], "block": rows["block"], "entry": entries, "end": at})
+
+
+def _left(rows: pd.DataFrame) -> pd.DataFrame:
+    """The exit state of each of a conversation's blocks, from the last one back."""
+    rows = rows.sort_values("block")
+    at, exits = int(rows["end"].iloc[-1]), []
+    for x in reversed(rows["origins"].tolist()):
+        exits.append(at)
+        at = int(x[at])
+    return pd.DataFrame({"conv_id": rows["conv_id"], "block": rows["block"], "entry": rows["entry"], "exit": exits[::-1], "last": [False] * (len(rows) - 1) + [True]})
 
 
 OUT = "conv_id long, turn long, role string, action string, role_out string, inserted string, cost int, out_turn long, rendered string"
@@ -166,7 +194,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _runs(batches):
         rows = t.to_pylist()
         entry, exit_ = rows[0]["entry"], rows[0]["exit"]
-        moves = repair([canonical(r["role"]) for r in rows], entry, (exit_,) if exit_ is not None else (2, 3))
+        moves = repair([canonical(r["role"]) for r in rows], entry or ENTRY, (exit_,) if exit_ is not None else (2, 3))
         n = -1
         for r, (s, q, cost, what, empty) in zip(rows, moves, strict=True):
             text = r["text"] or ""
@@ -192,7 +220,8 @@ def repaired_turns(spark: SparkSession, turns: DataFrame, block: int = BLOCK) ->
     action: keep, relabel or merge. inserted: the role of an empty turn put before. out_turn: its place among the turns
     made, from 0. rendered: what the row adds to the conversation's text; joined in the order of out_turn and turn they
     are all of it. Turns are ordered by turn (null first), role and text. Null and unknown roles are relabelled, a null
-    text is empty, rows with a null conv_id are one conversation. Repeated rows are turns of their own.
+    text is empty, rows with a null conv_id are one conversation. Repeated rows are turns of their own; other columns are
+    ignored. block: turns in a block, which the rows don't depend on.
     """
     prepare(spark)
     scratch = Scratch(spark, "chat")
@@ -202,17 +231,24 @@ def repaired_turns(spark: SparkSession, turns: DataFrame, block: int = BLOCK) ->
     order = ["conv_id", "turn", "role", "text"]
     short = turns.join(long_, same, "left_anti").withColumn("block", F.lit(0).cast("long")).withColumn("seq", F.lit(0).cast("long"))
     dealt = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq", *order[1:])
-    whole = short.withColumn("entry", F.lit(START)).withColumn("exit", F.lit(None).cast("int")).withColumn("last", F.lit(True))
+    whole = short.withColumn("entry", F.lit(None).cast("array<long>")).withColumn("exit", F.lit(None).cast("int")).withColumn("last", F.lit(True))
     schema = f"{OUT}, block long"
     out = dealt(whole).mapInArrow(_repaired, schema)
     if not long_.isEmpty():
         many = turns.join(long_, same, "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
-        many = scratch.save(many.mapInArrow(_ranked, "conv_id long, turn long, role string, text string, block long, seq long"), "blocks")
-        states = dealt(many).mapInArrow(_matrices, "conv_id long, block long, m array<long>").groupBy("conv_id").applyInPandas(_composed, "conv_id long, block long, entry int, exit int, last boolean").withColumnRenamed("conv_id", "c").withColumnRenamed("block", "b")
-        many = many.join(states, same & (F.col("block") == F.col("b"))).select("conv_id", "turn", "role", "text", "block", "seq", "entry", "exit", "last")
+        many = scratch.save(many.mapInArrow(_ranked(block), "conv_id long, turn long, role string, text string, block long, seq long"), "blocks")
+        keys = "conv_id long, block long"
+        renamed = lambda df: df.withColumnRenamed("conv_id", "c").withColumnRenamed("block", "b")
+        at = same & (F.col("block") == F.col("b"))
+        entered = dealt(many).mapInArrow(_matrices, f"{keys}, m array<long>").groupBy("conv_id").applyInPandas(_entered, f"{keys}, entry array<long>, end int")
+        entered = scratch.save(entered, "entered")
+        led = dealt(many.join(renamed(entered), at).drop("c", "b")).mapInArrow(_origins, f"{keys}, origins array<int>")
+        states = led.join(renamed(entered), at).drop("c", "b").groupBy("conv_id").applyInPandas(_left, f"{keys}, entry array<long>, exit int, last boolean")
+        states = renamed(scratch.save(states, "states"))
+        many = many.join(states, at).select("conv_id", "turn", "role", "text", "block", "seq", "entry", "exit", "last")
         done = scratch.save(dealt(many).mapInArrow(_repaired, schema), "done")
         made = done.groupBy("conv_id", "block").agg((F.max("out_turn") + 1).alias("made"))
         before = F.coalesce(F.sum("made").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         made = made.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), before.alias("before"))
-        out = out.unionByName(done.join(made, same & (F.col("block") == F.col("b"))).withColumn("out_turn", F.col("out_turn") + F.col("before")).drop("c", "b", "before"))
+        out = out.unionByName(done.join(made, at).withColumn("out_turn", F.col("out_turn") + F.col("before")).drop("c", "b", "before"))
     return out.drop("block")

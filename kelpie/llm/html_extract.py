@@ -8,6 +8,7 @@ on labelled pages (html_pages.py), decoded by Viterbi, and small enough to go to
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -22,10 +23,13 @@ from kelpie.llm.html_pages import labelled_pages
 
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-#: Fixed values of HTML: elements without content, with text that is not shown, and that begin a block.
+#: Fixed values of HTML: elements without content, whose content is not markup and not shown, whose content is markup
+#: and not shown, and that begin a block; those a list of choices may hold.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea select svg iframe object math title head canvas audio video".split())
+RAW = set("script style textarea title iframe noembed noframes".split())
+HIDDEN = set("template select datalist".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+CHOICE = {"option", "optgroup", "hr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 STOPS = set("ul ol dl table article section aside nav header footer main div body form".split())
 SOUND = set("a abbr b big button cite code em font i label mark q s small span strike strong sub sup time tt u".split())
@@ -47,7 +51,13 @@ def _element(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
 
 
 def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
-    """Leaf blocks in page order: text, features, and whether a labelled page marks it as main."""
+    """Leaf blocks in page order: text, features, and whether a labelled page marks it as main.
+
+    Text that is part of no block: that of RAW elements, up to their end tag or, without one, to the page's end, as
+    browsers read them; that of HIDDEN elements, which end with the element around them at the latest, lists of choices
+    also where another block begins; comments; and attributes. All other text is, that of media, formulas, drawings and
+    unknown elements too.
+    """
     page = page or ""
     stack: list[list] = []  # tag, features, main
     out, text, linked, at, n, off = [], [], [0], 0, len(page), False
@@ -71,6 +81,8 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
             linked[0] = 0
 
     def add(raw: str) -> None:
+        if any(e[0] in HIDDEN for e in stack):
+            return
         if "&" in raw:
             raw = html.unescape(raw)
         text.append(raw)
@@ -108,7 +120,11 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
             continue
         if tag in BLOCK:
             flush()
-            p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+            choices = next((k for k, e in enumerate(stack) if e[0] in ("select", "datalist")), None)
+            if choices is not None and tag not in CHOICE:
+                del stack[choices:]
+                choices = None
+            p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None) if choices is None else None
             if p is not None:
                 del stack[p:]
             for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
@@ -119,15 +135,12 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
                     break
             if tag[0] == "h" and stack and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 stack.pop()
-        if tag in VOID or m[4].endswith("/") and tag in ("svg", "path"):
+        foreign = tag in ("svg", "math") or any(e[0] in ("svg", "math") for e in stack)
+        if tag in VOID or tag == "head" or foreign and m[4].endswith("/"):  # what a head may hold shows no text
             continue
         if tag in RAW:
-            if tag == "head":  # its end may be missing
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = n if end is None and "<p" not in page else end.start() if end and end[0][1] != "/" else end.end() if end else at
-            else:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            end = re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
             continue
         key = (tag, m[4])
         if key not in cached:
@@ -210,7 +223,9 @@ class Field:
         return "\n".join(x[0] for x, on in zip(b, self.labels(b), strict=True) if on) if b else ""
 
 
+@functools.cache
 def train() -> Field:
+    """The field fitted on labelled_pages(), once for each process."""
     return Field(labelled_pages())
 
 
@@ -227,8 +242,9 @@ def _extracted(field):
 def main_texts(spark: SparkSession, pages: DataFrame, field: Field | None = None) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of pages (page_id, url, html).
 
-    A null, empty or blank page has the text ''. Broken markup is read as far as it goes; pages are read whole. Other
-    columns are ignored, null ids and urls stay, repeated rows are repeated.
+    A null, empty or blank page has the text ''. Broken markup is read as far as it goes; pages are read whole. What
+    blocks() leaves out goes, and whole blocks that the field doesn't label as main text, nothing else. Other columns are
+    ignored, null ids and urls stay, repeated rows are repeated.
     """
     prepare(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -113,18 +113,31 @@ def test_chat(spark):
     cost = lambda seq: sum(m[2] for m in chat_format.repair(seq))
 
     def brute(seq, state=0):
+        """Least cost by the rules as the module states them: 1 a merge, 2 an empty turn, 3 another role; 1 system, 2 user, 3 assistant."""
         if not seq:
             return 0 if state in (2, 3) else 10**6
-        return min(c + brute(seq[1:], q) for s, q, c, _, _ in chat_format.MOVES[seq[0]] if s == state)
+        after = {0: {1, 2}, 1: {2}, 2: {3}, 3: {2}}
+        best = 10**6
+        for q in (1, 2, 3):
+            here = 0 if q == seq[0] else 3
+            if q == state:
+                here += 1
+            elif q not in after[state]:
+                if not any(q in after[m] for m in after[state]):
+                    continue
+                here += 2
+            best = min(best, here + brute(seq[1:], q))
+        return best
 
     for _ in range(60):
         seq = [rng.randrange(4) for _ in range(rng.randint(1, 6))]
         assert cost(seq) == brute(seq)
     turns = [(c, t, rng.choice(["user", "assistant", "system", "gpt", None, "x"]), f"t{t}") for c in (1, 2, None) for t in range(57)] + [(9, 0, "user", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    whole, cut = (sorted(map(repr, chat_format.repaired_turns(spark, df, b).collect())) for b in (10**6, 20))
-    total = lambda rows: sum(int(r.split("cost=")[1].split(",")[0]) for r in rows)
-    assert len(whole) == len(cut) == len(turns) and total(whole) == total(cut)
+    whole = sorted(map(repr, chat_format.repaired_turns(spark, df, 10**6).collect()))
+    assert len(whole) == len(turns)
+    for block, parts in ((5, 4), (20, 1), (20, 7)):  # neither blocks nor partitions change a row
+        assert whole == sorted(map(repr, chat_format.repaired_turns(spark, df.repartition(parts), block).collect()))
     out = [r for r in chat_format.repaired_turns(spark, df, 20).collect() if r.conv_id == 1]
     text = "".join(r.rendered for r in sorted(out, key=lambda r: (r.out_turn, r.turn)))
     roles = [x.split("|>")[0] for x in text.split("<|")[1:] if not x.startswith("end")]
@@ -132,6 +145,35 @@ def test_chat(spark):
     assert chat_format.repaired_turns(spark, df.limit(0)).count() == 0
 
 
+def test_chat_blocks_make_the_choices_of_one_pass():
+    rng = random.Random(5)
+    for _ in range(300):
+        seq, size = [rng.randrange(4) for _ in range(40)], rng.choice([1, 3, 7, 16])
+        blocks, cost, entries = [seq[a : a + size] for a in range(0, 40, size)], np.array(chat_format.ENTRY), []
+        for b in blocks:
+            entries.append(tuple(cost.tolist()))
+            cost = np.minimum((cost[:, None] + chat_format.matrix(b)).min(0), chat_format.FAR)
+        at, moves = min((2, 3), key=lambda s, c=cost: (c[s], s)), []
+        for b, entry in zip(reversed(blocks), reversed(entries), strict=True):
+            moves = chat_format.repair(b, entry, (at,)) + moves
+            at = chat_format.origins(b, entry)[at]
+        assert moves == chat_format.repair(seq)
+
+
+def test_chat_rendering(spark):
+    """A conversation by hand, with names and columns that clash, repeated rows, and a very long text."""
+    long_text = "x " * 200_000
+    data = [(1, 0, "SYSTEM ", "s", 7), (1, 1, "human", "a", 7), (1, 2, "user", "b", 7), (1, 3, "gpt", long_text, 7), (1, 3, "gpt", long_text, 7), (2, 0, "assistant", "q", 7), (3, 0, None, None, 7)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, block int").selectExpr("*", "1 as seq", "2 as entry", "3 as c", "4 as cost")
+    text = defaultdict(str)
+    for r in sorted(chat_format.repaired_turns(spark, df).collect(), key=lambda r: (r.conv_id, r.out_turn, r.turn, r.action == "merge")):
+        text[r.conv_id] += r.rendered
+    end = "<|end|>\n"
+    assert text[1] == f"<|system|>\ns{end}<|user|>\na\nb{end}<|assistant|>\n{long_text}\n{long_text}{end}"
+    assert text[2] == f"<|user|>\n{end}<|assistant|>\nq{end}"
+    assert text[3] == f"<|user|>\n{end}"
+
+
 def test_lattice(spark):
     x = np.random.default_rng(0).standard_normal((300, 8)) * 2
     near = ((x[:, None] - lattice_dedup.decode(x)[:, None] - lattice_dedup.ROOTS) ** 2).sum(2).min(1)
@@ -191,16 +233,60 @@ def test_packing(spark, docs, rows):
     assert len(by) <= len(bins)
 
 
-def test_fill_is_best():
-    rng = random.Random(2)
+def fewest(pieces, capacity):
+    """The fewest sequences, by trying every place for every piece."""
+    best = len(pieces)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(pieces):
+            best = len(room)
+            return
+        for r in set(room):
+            if r >= pieces[i]:
+                k = room.index(r)
+                go(i + 1, [*room[:k], r - pieces[i], *room[k + 1 :]])
+        go(i + 1, [*room, capacity - pieces[i]])
+
+    pieces = sorted(pieces, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_plan_takes_the_fewest_sequences():
+    rng, better = random.Random(2), 0
+    cases = [(100, [52, 51, 45, 37, 47, 39, 41, 26, 55, 40, 23, 31])]
+    for _ in range(600):
+        capacity = rng.choice([50, 100, 101])
+        low, high = rng.choice([(1, capacity), (capacity // 5, capacity // 2), (capacity // 4, capacity // 2 + 3), (capacity // 10, capacity // 2)])
+        cases.append((capacity, [rng.randint(low, high) for _ in range(rng.randint(1, 12))]))
+    for capacity, pieces in cases:
+        counts = Counter(pieces)
+        filled, least = packing.plan(counts, capacity)
+        used = Counter()
+        for got, times in filled:
+            assert sum(got) <= capacity
+            for k in got:
+                used[k] += times
+        n, best = sum(times for _, times in filled), fewest(pieces, capacity)
+        assert used == counts and least <= n == best, (capacity, pieces)
+        better += n < sum(times for _, times in packing.best_fit(counts, capacity))
+    assert better > 20
+
+
+def test_fillings():
+    """All undominated fillings, by least waste, against all subsets."""
+    rng = random.Random(3)
     for _ in range(200):
-        counts = [0] * 30
-        for _ in range(rng.randint(1, 6)):
-            counts[rng.randint(1, 29)] += 1
-        room = rng.randint(1, 40)
-        items = [k for k, n in enumerate(counts) for _ in range(n) if k <= 29]
-        best = max(sum(c) for r in range(len(items) + 1) for c in itertools.combinations(items, r) if sum(c) <= room)
-        assert sum(packing.fill(counts, room, 29)) == best
+        items = [rng.randint(1, 15) for _ in range(rng.randint(1, 7))]
+        left, room = [items.count(k) for k in range(20)], rng.randint(1, 30)
+        got = list(packing.fillings(left, room, 19, room))
+        waste = [w for w, _ in got]
+        assert waste == sorted(waste) and all(took is None or (sum(took) == room - w and not Counter(took) - Counter(items)) for w, took in got)
+        sums = [sum(c) for r in range(len(items) + 1) for c in itertools.combinations(items, r) if sum(c) <= room]
+        assert next(sum(took) for _, took in got if took is not None) == max(sums)
 
 
 def test_media(spark, docs, rows):
@@ -287,6 +373,60 @@ def test_extraction(spark):
     assert got.count((1, text, len(text))) == 2 and (2, "", 0) in got and (3, "", 0) in got and len(got) == 6
 
 
+#: Pages by hand, in layouts that the generator of labelled pages doesn't write, and their main texts.
+PAGES = [
+    ("<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Site</title><script>var a = '<p>no</p>';</script></head><body><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav><article><h1>Rain in the hills</h1><p>It rained, x <math><mi>a</mi>+<mi>b</mi></math> is the sum.</p><noscript><p>A picture of the hills is shown here.</p></noscript><p>It stopped.</p></article><footer>&copy; 2020 Site</footer></body></html>", "Rain in the hills\nIt rained, x a+b is the sum.\nA picture of the hills is shown here.\nIt stopped."),
+    ("<body><article><h2>One</h2><video src=v><p>After an open video, all of this stays.</p><object><p>And this one too.</p><p>And the last.</p></article><form><p>Search here</p><select><option>x<option>y</select></form></body>", "One\nAfter an open video, all of this stays.\nAnd this one too.\nAnd the last."),
+    ("<article><p>a<svg viewBox='0 0 1 1'><title>t</title><circle r=1 /><text>b</text></svg> c</p><textarea>no</textarea><p>d&nbsp;&lt;e&gt; &#233;</p></article>", "ab c\nd <e> é"),
+    ("<article><p>x</p><style>p{}</style><template><p>no</p></template><p>y  \n z<br>w</p></article>", "x\ny z w"),
+]
+
+
+def test_extraction_of_pages_by_hand():
+    field = html_extract.train()
+    assert [field.text(page) for page, _ in PAGES] == [text for _, text in PAGES]
+    long_page = "<article>" + "".join(f"<p>Line {k} of a very long page.</p>" for k in range(30_000)) + "</article>"
+    assert field.text(long_page).count("\n") == 29_999
+
+
+def test_field_against_enumeration():
+    """Viterbi labels, and the gradient's marginals at the fitted weights, on short pages."""
+    field = html_extract.train()
+    for page in html_pages.labelled_pages(40, seed=9):
+        b = html_extract.blocks(page)[:9]
+
+        def value(labels, b=b):
+            own = sum(field.b[y] + sum(field.w[f][y] for f in fs if f in field.w) for (_, fs, _), y in zip(b, labels, strict=True))
+            return own + sum(field.t[x][y] for x, y in zip(labels, labels[1:], strict=False))
+
+        every = list(itertools.product((0, 1), repeat=len(b)))
+        assert abs(value(field.labels(b)) - max(map(value, every))) < 1e-9
+
+
+def test_field_fits_expected_to_found_features():
+    """At the maximum of the likelihood each feature is expected as often as it is found, by enumeration of all labellings."""
+    pages = ["<article data-main><p>One.</p><p>Two.</p></article><footer>x</footer>", "<nav>y</nav><article data-main><p>Three.</p></article>"]
+    field = html_extract.Field(pages, rounds=800, decay=0.0)
+    for y in (0, 1):
+        found, expected = Counter(), Counter()
+        for page in pages:
+            b = html_extract.blocks(page)
+            every = list(itertools.product((0, 1), repeat=len(b)))
+            weights = [np.exp(sum(field.b[k] + sum(field.w[f][k] for f in fs) for (_, fs, _), k in zip(b, ls, strict=True)) + sum(field.t[p][q] for p, q in zip(ls, ls[1:], strict=False))) for ls in every]
+            for (_, fs, main), at in zip(b, range(len(b)), strict=True):
+                for f in fs:
+                    found[f] += int(main) == y
+                    expected[f] += sum(w for w, ls in zip(weights, every, strict=True) if ls[at] == y) / sum(weights)
+        assert all(abs(found[f] - expected[f]) < 0.02 for f in expected)
+
+
+def test_extraction_odd_tables(spark):
+    field = html_extract.train()
+    pages = spark.createDataFrame([(1, "u", PAGES[0][0], "x"), (1, "u", PAGES[0][0], "x")], "page_id long, url string, html string, text string").selectExpr("*", "1 as n_chars")
+    assert [(r.page_id, r.text) for r in html_extract.main_texts(spark, pages, field).collect()] == [(1, PAGES[0][1])] * 2
+    assert html_extract.main_texts(spark, pages.limit(0), field).count() == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.jaccard_components(spark, none).count() == 0

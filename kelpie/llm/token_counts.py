@@ -1,12 +1,13 @@
-"""Token counts of a sentencepiece BPE model by a two-tier lookup of pre-token lengths, without any shuffle of pre-tokens.
+"""Token counts of a sentencepiece BPE model by a two-tier map-side lookup of pre-token lengths.
 
 No piece of the model has a space marker behind another character, nor a newline, so no merge crosses the beginning of
 a run of spaces or a newline: a text falls into pre-tokens whose numbers of tokens add up. Both are checked when the
 model is loaded; a model without the property is applied to whole texts.
 
 First tier: lengths of the most frequent pre-tokens of all texts, broadcast (at most `frequent` entries, so of bounded
-size). Second tier: each worker encodes misses once and keeps them in a cache of at most CACHE entries.
-The frequencies come from one pass over all texts whose tasks each send at most `frequent` rows.
+size). Second tier: each worker encodes misses once and keeps them in a cache of at most CACHE entries. No pre-token
+is shuffled: the frequent ones come from one pass over all texts in which a task keeps a bounded sketch of counts, one
+row, and the sketches are merged in a tree. They decide what is looked up first, not what is counted.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from kelpie.llm.common import prepare
 
 PRETOKEN = re.compile(r"\n| *[^ \n]+| +")
 CACHE, LONG = 1 << 20, 64
+#: Pre-tokens in a task's sketch, and tasks that merge sketches before the last one.
+SKETCH, FAN = 1 << 13, 32
 _models: dict = {}
 _caches: dict = {}
 
@@ -56,20 +59,55 @@ def pretokens(text: str) -> list[str]:
     return PRETOKEN.findall(" " + (text.replace("▁", " ") if "▁" in text else text)) if text else []
 
 
-def _frequent(path: str, most: int):
+class _Sketch:
+    """Counts of the most frequent keys, held for at most 16 times as many as are asked for in the end."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.seen = most, Counter()
+
+    def add(self, keys) -> None:
+        self.seen.update(keys)
+        if len(self.seen) > 16 * self.most:
+            self.seen = Counter(dict(self.top(4 * self.most)))
+
+    def top(self, n: int) -> list[tuple[str, int]]:
+        return sorted(self.seen.items(), key=lambda x: (-x[1], x[0]))[:n]
+
+    def row(self) -> pa.RecordBatch:
+        top = self.top(self.most)
+        return pa.RecordBatch.from_arrays([pa.array([[k for k, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["keys", "counts"])
+
+
+def _frequent(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        own = _Sketch(most)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(pretokens(t))
-            if len(seen) > 16 * most:
-                seen = Counter(dict(seen.most_common(4 * most)))
-        top = [(k, n) for k, n in seen.most_common(most) if len(k) <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["key", "n"])
+                own.add([k for k in pretokens(t) if len(k) <= LONG])
+        yield own.row()
+
+    return run
+
+
+def _merged(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Sketch(most)
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own.add(dict(zip(keys, counts, strict=True)))
+        yield own.row()
 
     return run
 
 
+def frequent_pretokens(docs: DataFrame, most: int) -> list[str]:
+    """The most frequent pre-tokens of docs (text), nearly: those frequent in few tasks only may be missed."""
+    kinds = "keys array<string>, counts array<long>"
+    sketches = docs.select("text").mapInArrow(_frequent(min(most, SKETCH)), kinds)
+    merged = sketches.repartition(FAN).mapInArrow(_merged(most), kinds).coalesce(1).mapInArrow(_merged(most), kinds)
+    return [k for r in merged.collect() for k in r["keys"]]
+
+
 def _count(path: str, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, apart = model(path)
@@ -113,8 +151,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 4
     """
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    top = docs.select("text").mapInArrow(_frequent(path, frequent), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    keys = [r.key for r in top.orderBy(F.desc("n"), "key").limit(frequent).collect()]
+    keys = frequent_pretokens(docs, frequent)
     table = spark.sparkContext.broadcast(dict(zip(keys, lengths(path, keys), strict=True)) if keys else {})
     out = docs.mapInArrow(_count(path, table), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

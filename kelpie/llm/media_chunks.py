@@ -2,10 +2,12 @@
 
 A payload is cut where a rolling gear hash over its last 16 bytes has BITS zero bits, so equal passages give equal
 chunks wherever they stand. A first pass finds the digests that occur more than once, by a partial aggregation. The
-second writes each payload's chunk list with the chunks that are its alone; the others go, once per task, to a store in
-which Spark's aggregation by digest leaves one copy. A bit filter of fixed size tells the two apart in the scan, so
-texts are never shuffled; a false hit only sends a chunk through the store. Payloads with equal chunk lists are rebuilt
-once, by a join with the store, and every chunk's digest is checked.
+second writes the stored form: a manifest, which is the header and the ordered list of chunk sizes and digests, and the
+chunks. Those that are a payload's alone stay beside its manifest; the others go, once per task, to a store in which
+Spark's aggregation by digest leaves one copy. A bit filter of fixed size tells the two apart in the scan, so texts are
+never shuffled; a false hit only sends a chunk through the store. Both tables are written to the shared folder and read
+back: the bytes of a medium are those of its manifest and then of its chunks, in order, as they were read. Payloads
+with equal manifests are rebuilt once, by a join with the store, and every chunk's digest is checked.
 """
 
 from __future__ import annotations
@@ -64,27 +66,36 @@ def digest(chunk: bytes) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-def container(n_bytes: int, parts: list[bytes], keys: list[tuple[int, int]]) -> bytes:
-    """The stored form: a header, the ordered chunk list, the samples of all chunks."""
+def manifest(n_bytes: int, parts: list[bytes], keys: list[tuple[int, int]]) -> bytes:
+    """What stands before the chunks of a medium: MAGIC, the unpadded size, the number of chunks, and their sizes and digests."""
     head = MAGIC + n_bytes.to_bytes(8, "little") + len(parts).to_bytes(4, "little")
-    return b"".join([head, *(len(p).to_bytes(4, "little") + a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for p, (a, b) in zip(parts, keys, strict=True)), *parts])
+    return b"".join([head, *(len(p).to_bytes(4, "little") + a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for p, (a, b) in zip(parts, keys, strict=True))])
 
 
-def opened(media: bytes) -> tuple[int, bytes]:
-    """Unpadded size and payload of a stored form, each chunk checked."""
-    if media[:4] != MAGIC:
+def listed(head: bytes) -> tuple[int, list[tuple[int, tuple[int, int]]]]:
+    """Unpadded size and chunk list (size, digest) of a manifest, or of a medium that begins with it."""
+    if head[:4] != MAGIC:
         raise ValueError("not a media container")
-    n_bytes, n, at = int.from_bytes(media[4:12], "little"), int.from_bytes(media[12:16], "little"), 16
-    start, out = 16 + 20 * n, []
-    for _ in range(n):
-        size = int.from_bytes(media[at : at + 4], "little")
-        key = tuple(int.from_bytes(media[at + k : at + k + 8], "little", signed=True) for k in (4, 12))
-        part = media[start : start + size]
-        if digest(part) != key:
+    number = lambda a, n, signed=False: int.from_bytes(head[a : a + n], "little", signed=signed)
+    return number(4, 8), [(number(a, 4), (number(a + 4, 8, True), number(a + 12, 8, True))) for a in range(16, 16 + 20 * number(12, 4), 20)]
+
+
+def joined(chunk_list: list[tuple[int, tuple[int, int]]], parts: list[bytes]) -> bytes:
+    """The payload of chunks, each checked against the list."""
+    for (size, key), part in zip(chunk_list, parts, strict=True):
+        if len(part) != size or digest(part) != key:
             raise ValueError("a chunk does not match its digest")
-        out.append(part)
-        start, at = start + size, at + 20
-    return n_bytes, b"".join(out)
+    return b"".join(parts)
+
+
+def opened(media: bytes) -> tuple[int, bytes]:
+    """Unpadded size and payload of a whole medium."""
+    n_bytes, chunk_list = listed(media)
+    at, parts = 16 + 20 * len(chunk_list), []
+    for size, _ in chunk_list:
+        parts.append(media[at : at + size])
+        at += size
+    return n_bytes, joined(chunk_list, parts)
 
 
 def feature(data: bytes) -> str:
@@ -107,7 +118,8 @@ def _digests(unit: int):
     return run
 
 
-STORED = pa.schema([("doc_id", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("n_bytes", pa.int64()), ("sizes", pa.list_(pa.int32())), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64())), ("shared", pa.list_(pa.bool_())), ("own", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("data", pa.binary())])
+LISTS = "doc_id long, m1 long, m2 long, manifest binary, shared array<boolean>, own binary, r1 array<long>, r2 array<long>"
+STORED = pa.schema([("doc_id", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("manifest", pa.binary()), ("shared", pa.list_(pa.bool_())), ("own", pa.binary()), ("r1", pa.list_(pa.int64())), ("r2", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64()), ("data", pa.binary())])
 
 
 def _store(unit: int, repeated):
@@ -122,20 +134,22 @@ def _store(unit: int, repeated):
                     n, data = payload(t, unit)
                     parts = chunks(data)
                     keys = [digest(c) for c in parts]
-                    m = digest(b"".join(x.to_bytes(8, "little", signed=True) for k in keys for x in k) + n.to_bytes(8, "little"))
+                    head = manifest(n, parts, keys)
+                    m = digest(head)
                     if len(seen) > SEEN:
                         seen.clear()
                     if m in seen:
-                        rows.append((doc, *m, *(None,) * 9))
+                        rows.append((doc, *m, *(None,) * 8))
                         continue
                     shared = [bool(bits[(p := k[0] & (FILTER_BITS - 1)) >> 3] >> (p & 7) & 1) for k in keys]
                     if any(shared):
                         seen.add(m)
-                    rows.append((doc, *m, n, [len(c) for c in parts], [k[0] for k in keys], [k[1] for k in keys], shared, b"".join(c for c, s in zip(parts, shared, strict=True) if not s), None, None, None))
+                    refs = [k for k, s in zip(keys, shared, strict=True) if s]
+                    rows.append((doc, *m, head, shared, b"".join(c for c, s in zip(parts, shared, strict=True) if not s), [k[0] for k in refs], [k[1] for k in refs], None, None, None))
                     for k, c, s in zip(keys, parts, shared, strict=True):
                         if s and k not in seen:
                             seen.add(k)
-                            rows.append((*(None,) * 9, *k, c))
+                            rows.append((*(None,) * 8, *k, c))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)], schema=STORED)
 
     return run
@@ -145,20 +159,23 @@ RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def _read(keep: list[str]):
-    """Chunk lists with their data to media, read back and described."""
+    """Rows (*keep, manifest, shared, own, parts) as they were stored to media, read back and described. parts: the shared chunks, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(k) for k in keep]
             out: list[list] = [[] for _ in range(7)]
-            for n, sizes, k1, k2, own in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "sizes", "k1", "k2", "own")), strict=True):
-                at, parts = 0, []
-                for s in sizes:
-                    parts.append(own[at : at + s])
-                    at += s
-                media = container(n, parts, list(zip(k1, k2, strict=True)))
-                size, data = opened(media)
-                for c, v in zip(out, (size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)), strict=True):
+            for i in range(batch.num_rows):
+                head, shared, own, more = (batch.column(c)[i].as_py() for c in ("manifest", "shared", "own", "parts"))
+                n_bytes, chunk_list = listed(head)
+                at, more, parts = 0, iter(more or ()), []
+                for (size, _), s in zip(chunk_list, shared, strict=True):
+                    parts.append(next(more) if s else own[at : at + size])
+                    at += 0 if s else size
+                data = joined(chunk_list, parts)
+                sha = hashlib.sha256(head)
+                sha.update(data)
+                for c, v in zip(out, (n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(head) + len(data), sha.hexdigest(), feature(data)), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [x.split()[0] for x in RESULT.split(", ")]
@@ -183,8 +200,7 @@ def store(spark: SparkSession, docs: DataFrame, unit: int = 576) -> tuple[DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = docs.select("text").mapInArrow(_digests(unit), "k1 long, k2 long")
     repeated = spark.sparkContext.broadcast(_bits(keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")))
-    schema = "doc_id long, m1 long, m2 long, n_bytes long, sizes array<int>, k1 array<long>, k2 array<long>, shared array<boolean>, own binary, s1 long, s2 long, data binary"
-    written = scratch.save(docs.mapInArrow(_store(unit, repeated), schema), "written")
+    written = scratch.save(docs.mapInArrow(_store(unit, repeated), f"{LISTS}, s1 long, s2 long, data binary"), "written")
     lists = written.where("m1 is not null").drop("s1", "s2", "data")
     kept = scratch.save(written.where("s1 is not null").select("s1", "s2", "data").dropDuplicates(["s1", "s2"]), "chunks")
     return lists, kept
@@ -192,18 +208,15 @@ def store(spark: SparkSession, docs: DataFrame, unit: int = 576) -> tuple[DataFr
 
 def describe(lists: DataFrame, kept: DataFrame) -> DataFrame:
     """Reads the media back; rows (doc_id, RESULT)."""
-    alone = lists.where("sizes is not null and not exists(shared, x -> x)")
-    first = alone.select("doc_id", "n_bytes", "sizes", "k1", "k2", "own").mapInArrow(_read(["doc_id"]), f"doc_id long, {RESULT}")
-    once = lists.where("sizes is not null and exists(shared, x -> x)").drop("doc_id").dropDuplicates(["m1", "m2"])
-    size_before = "aggregate(filter(arrays_zip(sizes, shared), (x, i) -> i < p and not x.shared), 0, (a, x) -> a + x.sizes)"
-    parts = once.select("m1", "m2", "n_bytes", "sizes", "k1", "k2", "shared", "own", F.posexplode("k1").alias("p", "s1"))
-    parts = parts.select("m1", "m2", "p", "s1", F.expr("k2[p]").alias("s2"), F.expr("sizes[p]").alias("size"), F.expr("shared[p]").alias("is_shared"), "n_bytes", F.expr(f"case when not shared[p] then substring(own, {size_before} + 1, sizes[p]) end").alias("part"))
-    inline = parts.where("not is_shared").select("m1", "m2", "p", "s1", "s2", "size", "n_bytes", "part")
-    joined = parts.where("is_shared").drop("part", "is_shared").join(kept, ["s1", "s2"]).select("m1", "m2", "p", "s1", "s2", "size", "n_bytes", F.col("data").alias("part"))
-    whole = inline.unionByName(joined).groupBy("m1", "m2").agg(F.min("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("p", "size", "s1", "s2", "part"))).alias("x"))
-    whole = whole.select("m1", "m2", "n_bytes", F.col("x.size").alias("sizes"), F.col("x.s1").alias("k1"), F.col("x.s2").alias("k2"), F.expr("aggregate(x.part, cast('' as binary), (a, b) -> concat(a, b))").alias("own"))
-    read = whole.mapInArrow(_read(["m1", "m2"]), f"m1 long, m2 long, {RESULT}")
-    rest = lists.where("sizes is null or exists(shared, x -> x)").select("doc_id", "m1", "m2")
+    whole, some = "manifest is not null and not exists(shared, x -> x)", "manifest is not null and exists(shared, x -> x)"
+    columns = ["manifest", "shared", "own", "parts"]
+    alone = lists.where(whole).withColumn("parts", F.lit(None).cast("array<binary>")).select("doc_id", *columns)
+    first = alone.mapInArrow(_read(["doc_id"]), f"doc_id long, {RESULT}")
+    once = lists.where(some).drop("doc_id").dropDuplicates(["m1", "m2"])
+    refs = once.select("m1", "m2", F.posexplode(F.arrays_zip("r1", "r2")).alias("p", "x")).select("m1", "m2", "p", F.col("x.r1").alias("s1"), F.col("x.r2").alias("s2"))
+    parts = refs.join(kept, ["s1", "s2"]).groupBy("m1", "m2").agg(F.sort_array(F.collect_list(F.struct("p", "data"))).alias("x")).select("m1", "m2", F.col("x.data").alias("parts"))
+    read = once.join(parts, ["m1", "m2"]).select("m1", "m2", *columns).mapInArrow(_read(["m1", "m2"]), f"m1 long, m2 long, {RESULT}")
+    rest = lists.where(f"manifest is null or {some}").select("doc_id", "m1", "m2")
     return first.unionByName(rest.join(read, ["m1", "m2"]).drop("m1", "m2"))
 
 
@@ -211,6 +224,7 @@ def media_columns(spark: SparkSession, docs: DataFrame, unit: int = 576) -> Data
     """Rows (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
 
     Null and empty texts are one unit of padding. Repeated rows are repeated, a null doc_id stays null, other columns
-    are ignored. Equal texts give equal values.
+    are ignored. Equal texts give equal values. A medium is stored as a manifest and chunks; media_bytes and media_sha256
+    are of these, as read back.
     """
     return describe(*store(spark, docs, unit))

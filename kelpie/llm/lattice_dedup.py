@@ -13,6 +13,7 @@ pair of vectors in one of them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,22 +67,27 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(near[:, None], a, b)
 
 
+@functools.lru_cache(maxsize=64)
+def _table(seed: int, t: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Projection, shift and hash keys of a table for vectors of d components."""
+    rng, need = np.random.default_rng([seed, t, d]), 8 * BLOCKS_OF
+    q = np.linalg.qr(rng.standard_normal((max(d, need), need)))[0][:d]
+    return q * (SCALE * np.sqrt(d / 64)), rng.random(need), rng.integers(0, 2**63, (BLOCKS_OF, 8), dtype=U) * U(2) + U(1)
+
+
 def _cells(v: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of the cells of unit vectors: by table, the own cell and then the probed ones."""
     n, d = v.shape
     out = np.empty((n, TABLES, 1 + 2 * BLOCKS_OF * PROBES // 2), U)
-    need = 8 * BLOCKS_OF
     for t in range(TABLES):
-        rng = np.random.default_rng([seed, t, d])
-        q = np.linalg.qr(rng.standard_normal((max(d, need), max(d, need))))[0][:d, :need]
-        y = v @ q * (SCALE * np.sqrt(d / 64)) + rng.random(need)
+        q, shift, keys = _table(seed, t, d)
+        y = v @ q + shift
         hs, alts = [], []
         for b in range(BLOCKS_OF):
             x = y[:, 8 * b : 8 * b + 8]
             p = decode(x)
             near = np.argsort(-((x - p) @ ROOTS.T), axis=1, kind="stable")[:, :PROBES]
-            key = rng.integers(0, 2**63, 8, dtype=U) * U(2) + U(1)
-            code = lambda z, k=key: mix(((2 * z).astype(np.int64).view(U) * k).sum(-1, dtype=U))
+            code = lambda z, k=keys[b]: mix(((2 * z).astype(np.int64).view(U) * k).sum(-1, dtype=U))
             hs.append(code(p))
             alts.append([code(p + ROOTS[near[:, j]]) for j in range(PROBES)])
         whole = lambda parts, t=t: mix(sum((h * U(2 * i + 3) for i, h in enumerate(parts)), U(0)) + U(t))
@@ -225,15 +231,17 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors (vec_id, embedding, label).
 
     Vectors are compared within a label only. A null label, a null, empty or zero vector and one with null or
-    non-finite components link with nothing; so do vectors of different lengths. Rows that repeat a vec_id count as
-    vectors of their own and share its component. Other columns are ignored.
+    non-finite components link with nothing; so do vectors of different lengths and rows without a vec_id, whose
+    component is null. Rows that repeat a vec_id count as vectors of their own, each linked by its own vector. Other
+    columns are ignored.
     """
     prepare(spark)
     scratch = Scratch(spark, "lattice")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    base = scratch.save(base.mapInArrow(_read, "vec_id long, label long, dim int, vec binary"), "base").withColumn("digest", F.md5("vec"))
-    valid = base.where("vec is not null and vec_id is not null")
-    same = scratch.save(valid.groupBy("label", "digest", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.min("vec").alias("vec")), "same")
+    base = scratch.save(base.mapInArrow(_read, "vec_id long, label long, dim int, vec binary"), "base").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.md5("vec")))
+    same = base.where("digest is not null").groupBy("label", "digest", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.min("vec").alias("vec"))
+    # an id of its own, as a vec_id may have several vectors
+    same = scratch.save(same.withColumn("id", F.monotonically_increasing_id()), "same")
     filed = scratch.save(same.select("id", "label", "dim", "vec").mapInArrow(_file(seed), "id long, cells array<long>, home array<boolean>"), "filed")
     at = filed.select("id", F.explode(F.arrays_zip("cells", "home")).alias("x")).select("id", F.col("x.cells").alias("cell"), F.col("x.home").alias("home")).groupBy("cell", "id").agg(F.max("home").alias("home"))
     met = at.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
@@ -246,7 +254,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     found = scratch.save(members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_links(least), "id long, n long, other long"), "found")
     comps = components(scratch, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    named = same.select("label", "digest", "dim", "id", "weight").join(counts, "id", "left").join(comps, "id", "left")
-    named = scratch.save(named.select("label", "digest", "dim", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "named")
+    linked = comps.join(same.select("id", "first"), "id")
+    linked = linked.join(linked.groupBy("component_id").agg(F.min("first").alias("least")), "component_id").select("id", "least")
+    named = same.select("label", "digest", "dim", "id", "first", "weight").join(counts, "id", "left").join(linked, "id", "left")
+    named = scratch.save(named.select("label", "digest", "dim", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "named")
     out = base.join(named, ["label", "digest", "dim"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset sums over the histogram of document sizes.
 
 A source takes all its documents as many whole times as its target allows; what is left of the target is a subset sum
-over its sizes. Each size first gives its proportional share; a bounded knapsack (a bit set of reachable sums, one
-layer for each size) fills the small rest as closely as any choice can. All this sees only counts by source and exact
-size. Which documents of a size are taken is decided by a seeded hash, with counts of hash buckets, so that no size,
+over its sizes. Each size first gives its proportional share of all but REST words; a bounded knapsack (a bit set of
+reachable sums, one layer for each size) fills the rest as closely as any choice can. All this sees only counts by
+source and exact size. Which documents of a size are taken is decided by a seeded hash, with counts of hash buckets, so that no size,
 however frequent, is ranked in one task.
 """
 
@@ -43,13 +43,13 @@ def _order(seed: int, size: int) -> bytes:
 
 
 def subset(counts: dict[int, int], want: int, seed: int) -> dict[int, int]:
-    """How many documents of each size to take, for a sum as near to want as the knapsack finds."""
+    """How many documents of each size to take, for a sum as near to want as any; over REST, as any that completes a proportional part."""
     total = sum(k * n for k, n in counts.items())
     if want <= 0 or not total:
         return {}
     if want >= total:
         return dict(counts)
-    took = {k: n * want // total for k, n in counts.items()}
+    took = {k: n * max(want - REST, 0) // total for k, n in counts.items()}
     left = want - sum(k * n for k, n in took.items())
     sizes = sorted(counts, key=lambda k: _order(seed, k))
     for k in sizes:
@@ -58,7 +58,7 @@ def subset(counts: dict[int, int], want: int, seed: int) -> dict[int, int]:
         n = min(counts[k] - took[k], left // k)
         took[k] += n
         left -= n * k
-    room = left + min((k for k in sizes if counts[k] > took[k]), default=0)
+    room = left + min(left, max((k for k in sizes if counts[k] > took[k]), default=0))
     keep, layers, reach = (1 << (room + 1)) - 1, [], 1
     for k in sizes:
         n, step = min(counts[k] - took[k], room // k), 1

@@ -142,8 +142,9 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> Rules:
     """From documents (doc_id, text) and labels (doc_id, quality): about `most` labelled documents at most, by a hash.
 
-    A document labelled more than once counts with the rounded mean of its labels; null labels don't count. The
-    sampled labels are broadcast, as their number is bounded, so texts are not shuffled.
+    A document labelled more than once counts with the rounded mean of its labels; null labels don't count. The sampled
+    labels are broadcast, as their number is bounded, so texts are not shuffled. The share that is sampled is `most` of
+    all labels, so those of documents that are not to be learnt from are left out before.
     """
     own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("y"))
     n = own.count()

@@ -26,6 +26,11 @@ def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def held_out(n: int, k: int):
+    """Whether a row is kept from learning: its remainder is k. A row without a doc_id isn't."""
+    return F.coalesce(remainder(n) == k, F.lit(False))
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -52,8 +57,8 @@ def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    rules = quality.learn(docs.where(remainder(5) != 0), _table(spark, sf_dir, "labels"))
-    return quality.scored(spark, quality.statistics(docs, ["doc_id"]), rules).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    rules = quality.learn(docs.where(~held_out(5, 0)), _table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return quality.scored(spark, quality.statistics(docs, ["doc_id"]), rules).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +67,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.where(remainder(4) != 2))
-    return language_id.identify(spark, docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    model = language_id.fit(docs.where(~held_out(4, 2)))
+    return language_id.identify(spark, docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

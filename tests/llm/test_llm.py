@@ -43,9 +43,11 @@ def joined(ids, links):
     return {i: find(parent, i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20, 1 << 20])
+def test_components(spark, few):
+    """few: whether rounds, one task, or both join the edges."""
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
-    got = {r.id: r.component_id for r in components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long"), few=few).collect()}
     assert got == {k: v for k, v in joined({x for p in links for x in p}, links).items()}
 
 
@@ -186,6 +188,7 @@ def test_lattice(spark):
     e = v.astype(np.float32).astype(float)
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     links = [(a, b) for a, b in itertools.combinations(range(len(v)), 2) if a % 3 == b % 3 and e[a] @ e[b] >= 0.98]
+    df = df.selectExpr("*", "1 as id", "2 as weight", "3 as cell", "4 as n", "5 as first")
     got = {r.vec_id: r for r in lattice_dedup.near_duplicates(spark, df).collect()}
     degree = Counter(k for p in links for k in p)
     assert sum(r.n_links for r in got.values()) >= 0.9 * 2 * len(links) and all(got[i].n_links <= degree[i] for i in range(len(v)))
@@ -193,6 +196,37 @@ def test_lattice(spark):
     assert {i: r.component_id for i, r in got.items()} == want and all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_lattice_repeated_and_missing_ids(spark):
+    """Rows of one vec_id with two vectors are linked each by its own; rows without an id link with nothing."""
+    a, b, near = [1.0] * 16, [1.0, -1.0] * 8, [1.0] * 15 + [1.1]
+    data = [(5, a, 1), (5, b, 1), (7, near, 1), (8, b, 1), (8, b, 2), (None, a, 1), (9, a, 1), (9, a, 1)]
+    got = lattice_dedup.near_duplicates(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(5, 3, 5, True), (5, 1, 5, True), (7, 3, 5, False), (8, 1, 5, False), (8, 0, 8, True), (None, 0, None, False), (9, 3, 5, False), (9, 3, 5, False)]
+    assert sorted(map(repr, want)) == sorted(repr((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got)
+
+
+@pytest.mark.parametrize("d", [8, 64, 768])
+def test_lattice_recall(d):
+    """Random pairs at a cosine of just 0.98 meet in a cell, nearly all of them."""
+    rng = np.random.default_rng(d)
+    a, b = rng.standard_normal((2, 2000, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = lattice_dedup._cells(a, 8), lattice_dedup._cells(b, 8)
+    met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2))
+    assert met.mean() >= 0.995
+
+
+def test_jaccard_repeated_and_missing_ids(spark):
+    """Rows that share a doc_id but not a text are documents of their own; those without a doc_id link with nothing."""
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    data = [(5, one), (5, two), (7, one + " x"), (8, two), (None, one), (9, one), (9, one), (4, two + " y")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(repr((r.doc_id, r.n_shingles, r.class_id, r.component_id)) for r in jaccard_join.jaccard_components(spark, df).collect())
+    assert got == sorted(map(repr, [(5, 38, 5, 5), (5, 38, 5, 4), (7, 39, 7, 5), (8, 38, 5, 4), (None, 38, None, None), (9, 38, 5, 5), (9, 38, 5, 5), (4, 39, 4, 4)]))
+
+
 def test_tokens(spark, docs, rows):
     path = queries.tokenizer("piece_bpe_32k.model")
     sp = token_counts.model(path)[0]
@@ -359,11 +393,19 @@ def test_mixing(spark, docs, rows):
     assert all(abs(n - k[1]) <= max(1, largest[k] / 2) for k, n in by.items())
     assert mixing.mix(spark, docs.limit(0)).count() == 0
     assert mixing.shares([("b", 10), ("a", 100), (None, 0)]) == {"a": 80.0, "b": 30.0, None: 0.0}
-    for _ in range(50):
-        counts = {random.randint(1, 12): random.randint(1, 3) for _ in range(4)}
-        want = random.randint(1, sum(k * n for k, n in counts.items()))
+
+
+def test_subset_is_nearest():
+    """The knapsack's sums against those of all subsets."""
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 4))}
+        total = sum(k * n for k, n in counts.items())
+        want = rng.randint(0, total + 5)
         took = mixing.subset(counts, want, 1)
         assert all(0 <= n <= counts[k] for k, n in took.items())
+        sums = [sum(k * n for k, n in zip(counts, c, strict=True)) for c in itertools.product(*(range(n + 1) for n in counts.values()))]
+        assert abs(sum(k * n for k, n in took.items()) - want) == min(abs(x - want) for x in sums), (counts, want, took)
 
 
 def test_language(spark, docs):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpie.llm import jaccard_join, language_id, mixing, packing, quality
 from kelpie.llm.common import Scratch, prepare
-from kelpie.llm.queries import remainder, tokenizer
+from kelpie.llm.queries import held_out, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's letters, times the odds, in its language; and least quality score.
@@ -20,7 +20,7 @@ LANGUAGE, QUALITY = 0.25, 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language: those without a letter or a text go, and those no language fits."""
     prepare(spark)
-    model = language_id.fit(docs.where(remainder(4) != 2), reject=True)
+    model = language_id.fit(docs.where(~held_out(4, 2)), reject=True)
     return language_id.identify(spark, docs, model, COLUMNS).where(f"lang_pred <> 'und' and score >= {LANGUAGE}").select(*COLUMNS)
 
 
@@ -31,18 +31,30 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(spark, quality.statistics(docs, COLUMNS), rules, QUALITY).where("predicted = 1").select(*COLUMNS)
 
 
+def single(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id, the smallest by text, lang, source and n_chars; rows without one go. Unique rows are not shuffled."""
+    docs = docs.where("doc_id is not null").select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates (5-word shingles, similarity 0.8).
 
     Texts without words are in no group and stay. Rows that repeat a doc_id are one document; rows without one go.
     """
+    docs = single(docs)
     found = jaccard_join.jaccard_components(spark, docs, width=5, low=80)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a document comes as often as the mix takes it, 0 to 3 times; rows without a doc_id go."""
+    """Sources in their target shares: a document comes as often as the mix takes it, 0 to 3 times.
+
+    Rows that repeat a doc_id are one document; rows without one go.
+    """
+    docs = single(docs)
     took = mixing.mix(spark, docs).where("repeats > 0").select("doc_id", "repeats")
     return docs.join(took, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), "repeats"))).select(*COLUMNS)
 

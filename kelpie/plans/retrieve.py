@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie import config, providers
 from kelpie.functions import text as T
-from kelpie.operators import fusion, lexical, rerank, routing, vector
-from kelpie.plans import stages
+from kelpie.operators import fusion, rerank, routing
+from kelpie.operators.search import hybrid
+from kelpie.shared import cut
+from kelpie.sources import files
 
 
 @dataclass
@@ -24,6 +26,15 @@ class Index:
         return rows.select(F.col("product_id").alias("pid"), F.col("product_name").alias("name"), F.col("id").alias("ord"))
 
 
+CHUNKS = "id string, collection string, text string, type string, product_id string, product_name string, section_title string, embedding array<float>"
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index at a path; where there is none, one without chunks, in which every search finds nothing."""
+    found = files.read_index(spark, path)
+    return Index(spark.createDataFrame([], CHUNKS) if found is None else found)
+
+
 def build(product_chunks: DataFrame, policy_chunks: DataFrame, encode=None) -> DataFrame:
     """Index rows of both kinds of chunks; embeddings by encode (a pandas UDF over text)."""
     encode = encode or providers.hashed_bag()
@@ -44,7 +55,7 @@ def scoped(index: Index, sub: DataFrame) -> tuple[DataFrame, DataFrame]:
     scopes = sub.select("scope", "collection", F.when(F.size("pids") > 0, F.col("pids")).otherwise(F.array(F.lit(None).cast("string"))).alias("pids")).dropDuplicates(["scope"])
     wanted = scopes.select("scope", F.col("collection").alias("c"), F.explode("pids").alias("pid"))
     c = index.chunks
-    whole = c.join(F.broadcast(wanted.where("pid is null").drop("pid")), F.col("collection") == F.col("c")).drop("c")
+    whole = c.join(wanted.where("pid is null").drop("pid"), F.col("collection") == F.col("c")).drop("c")
     some = c.join(wanted.where("pid is not null"), (F.col("collection") == F.col("c")) & (F.col("product_id") == F.col("pid"))).drop("c", "pid")
     return sub, whole.unionByName(some)
 
@@ -54,15 +65,12 @@ def retrieve(queries: DataFrame, index: Index, n: int = config.ANSWER_N, planner
     encode = encode or providers.hashed_bag()
     planned = planner(queries)
     sub = planned.select("query_id", F.posexplode("plan.sub_queries").alias("sub_pos", "query")).withColumn("parent", F.col("query_id")).withColumn("query_id", F.struct("parent", "sub_pos").cast("string"))
-    bases = stages.cut(routing.base_to_ids(index.products()))
+    bases = cut(routing.base_to_ids(index.products()))
     matched = routing.route(routing.longest_match(sub, bases))
     ids = routing.series_ids(matched, bases)
     matched = matched.join(ids, "query_id", "left").withColumn("pids", F.when(F.col("collection") == "product_collection", F.coalesce("pids", F.array())).otherwise(F.array()).cast("array<string>"))
-    matched, chunks = scoped(index, stages.cut(matched))  # every branch below reads the batch of questions
-    each = config.CANDIDATES * config.OVERFETCH
-    v = vector.cosine(matched.select("query_id", encode("query").alias("embedding"), "scope"), chunks, each, "scope")
-    b = lexical.bm25(matched.select("query_id", "query", "scope"), chunks, each, F.col("scope"))
-    fused = fusion.rrf(v, b, config.CANDIDATES)
+    matched, chunks = scoped(index, cut(matched))  # every branch below reads the batch of questions
+    fused = hybrid(matched.select("query_id", "query", encode("query").alias("embedding"), "scope"), chunks, config.CANDIDATES, "scope")
     names = matched.select("query_id", "parent", "sub_pos", F.col("query").alias("sub_query"))
     payload = index.chunks.select("id", "text", "type", "product_id", F.coalesce(T.blank_to_null(F.col("product_name")), F.col("section_title")).alias("name"))
     rows = fused.join(names, "query_id").drop("query_id").withColumnRenamed("parent", "query_id").join(payload, "id")

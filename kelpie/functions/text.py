@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,35 +116,57 @@ def stock_text(stock: Column) -> Column:
     return F.when(stock.startswith("["), F.array_join(F.from_json(stock, "array<string>"), ", ")).otherwise(stock)
 
 
+#: The wording of chunks, in which {0}, {1}, ... stand for the values; searches are made for these words.
+WORDING = {
+    "specs": "Thông số kỹ thuật chi tiết của sản phẩm {0}:\n",
+    "spec": "Sản phẩm {0} có thông số {1} là {2}.",
+    "variants": "Các phiên bản màu sắc, giá bán và tình trạng kho hàng hiện tại của sản phẩm {0}:\n",
+    "variant": "Sản phẩm {0} phiên bản màu {1} có giá bán là {2} và tình trạng kho hàng là {3}.",
+    "description": "Mô tả chi tiết và tính năng sản phẩm {0} (Phần {1}):\n{2}",
+    "faq": "[FAQ Sản phẩm {0}]\nCâu hỏi: {1}\nTrả lời: {2}",
+    "policy": "[Chính sách {0}] - {1}\nChủ đề: {2}\nNội dung:\n{3}",
+    "context": "[Tài liệu {0} | {1} - {2}]\n{3}",
+    "no color": "Không xác định",
+    "no price": "Liên hệ",
+    "no stock": "Hết hàng",
+}
+
+
+def worded(key: str, *values: Column) -> Column:
+    """A wording with its values; null where one is null."""
+    parts = re.split(r"\{(\d)\}", WORDING[key])
+    return F.concat(*(values[int(p)] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p))
+
+
 def specs_text(name: Column, specs: Column) -> Column:
     """specs: array of (key, value); entries without a value are left out, the header stays."""
-    line = lambda e: F.concat(F.lit("Sản phẩm "), name, F.lit(" có thông số "), spec_name(e["key"]), F.lit(" là "), spec_value(e["key"], e["value"]), F.lit("."))
+    line = lambda e: worded("spec", name, spec_name(e["key"]), spec_value(e["key"], e["value"]))
     kept = F.filter(specs, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    return F.concat(F.lit("Thông số kỹ thuật chi tiết của sản phẩm "), name, F.lit(":\n"), F.array_join(F.transform(kept, line), "\n"))
+    return F.concat(worded("specs", name), F.array_join(F.transform(kept, line), "\n"))
 
 
 def variants_text(name: Column, variants: Column) -> Column:
     def line(v: Column) -> Column:
-        get = lambda k, d: F.coalesce(v[k], F.lit(d))
-        return F.concat(F.lit("Sản phẩm "), name, F.lit(" phiên bản màu "), get("color", "Không xác định"), F.lit(" có giá bán là "), get("price", "Liên hệ"), F.lit(" và tình trạng kho hàng là "), stock_text(get("stock", "Hết hàng")), F.lit("."))
+        get = lambda k: F.coalesce(v[k], F.lit(WORDING[f"no {k}"]))
+        return worded("variant", name, get("color"), get("price"), stock_text(get("stock")))
 
-    return F.concat(F.lit("Các phiên bản màu sắc, giá bán và tình trạng kho hàng hiện tại của sản phẩm "), name, F.lit(":\n"), F.array_join(F.transform(variants, line), "\n"))
+    return F.concat(worded("variants", name), F.array_join(F.transform(variants, line), "\n"))
 
 
 def description_text(name: Column, part: Column, text: Column) -> Column:
-    return F.concat(F.lit("Mô tả chi tiết và tính năng sản phẩm "), name, F.lit(" (Phần "), part.cast("string"), F.lit("):\n"), text)
+    return worded("description", name, part.cast("string"), text)
 
 
 def faq_text(name: Column, q: Column, a: Column) -> Column:
-    return F.concat(F.lit("[FAQ Sản phẩm "), name, F.lit("]\nCâu hỏi: "), q, F.lit("\nTrả lời: "), a)
+    return worded("faq", name, q, a)
 
 
 def policy_text(title: Column, sub_title: Column, text: Column, store: str | None = None) -> Column:
-    return F.concat(F.lit(f"[Chính sách {store or config.STORE}] - "), title, F.lit("\nChủ đề: "), sub_title, F.lit("\nNội dung:\n"), text)
+    return worded("policy", F.lit(store or config.STORE), title, sub_title, text)
 
 
 def context_block(rank: Column, kind: Column, name: Column, text: Column) -> Column:
-    return F.concat(F.lit("[Tài liệu "), rank.cast("string"), F.lit(" | "), kind, F.lit(" - "), name, F.lit("]\n"), text)
+    return worded("context", rank.cast("string"), kind, name, text)
 
 
 def answer_html(c: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
 
@@ -22,12 +21,8 @@ def run(spark: SparkSession, stages: list[tuple[str, Callable[[], object]]]) ->
     return spark.createDataFrame(rows, "stage string, ok boolean, seconds double, error string")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint, for rows that several branches of a plan read: worked out once, with a short plan.
-
-    Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; to a temporary one where none is named.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kelpie-"))
-    return df.checkpoint()
+def summary(rows: DataFrame) -> str:
+    """A line for each stage, and whether all went well."""
+    done = rows.collect()
+    lines = [f"{'ok' if r.ok else 'failed':6} {r.stage} ({r.seconds:.1f} s){'' if r.ok else ': ' + r.error}" for r in done]
+    return "\n".join([*lines, "all stages done" if all(r.ok for r in done) else "done with errors"])

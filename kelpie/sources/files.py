@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from kelpie.functions import text as T
@@ -39,19 +41,59 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One JSON array in one file of a folder, a record a line, in order; written by one task that holds one batch of records."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + r for i, r in enumerate(rows)])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    own = F.to_json(F.struct(*(c for c in df.columns if c not in ("ord",))), {"ignoreNullFields": "false"}).alias("value")
+    rows = (df.orderBy(*order) if order else df).select(own).coalesce(1)
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def matching(wanted: dict) -> Column:
+    """A filter on metadata: {column: value}, {column: {"$in": [values]}}, {"$and": [filters]}; all conditions of one must hold."""
+    on = F.lit(True)
+    for key, value in wanted.items():
+        if key == "$and":
+            for part in value:
+                on = on & matching(part)
+        elif isinstance(value, dict):
+            if set(value) != {"$in"}:
+                raise ValueError(f"unknown condition {value}")
+            on = on & F.col(key).isin(list(value["$in"]))
+        else:
+            on = on & (F.col(key) == F.lit(value))
+    return on
+
+
+def flat_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
+    """A struct's fields as strings, numbers and booleans; others as JSON. A null stays null."""
+    scalar = (StringType, NumericType, BooleanType)
+    fields = [F.col(f"{column}.{f.name}").alias(f.name) if isinstance(f.dataType, scalar) else F.to_json(f"{column}.{f.name}").alias(f.name) if isinstance(f.dataType, (StructType, ArrayType, MapType)) else F.col(f"{column}.{f.name}").cast("string").alias(f.name) for f in df.schema[column].dataType.fields]
+    return df.withColumn(column, F.struct(*fields))
+
+
 def write_index(chunks: DataFrame, path: str) -> None:
     """The index: one table partitioned by collection, rebuilt as a whole; metadata as top-level columns, so filters reach the scan."""
     chunks.write.mode("overwrite").partitionBy("collection").parquet(path)
 
 
-def read_index(spark: SparkSession, path: str, collection: str | None = None, where: str | None = None) -> DataFrame | None:
-    """The index or one of its collections; None where there is none."""
+def read_index(spark: SparkSession, path: str, collection: str | None = None, where: str | dict | None = None) -> DataFrame | None:
+    """The index or one of its collections, filtered by SQL or by matching(); None where there is none."""
     try:
         df = spark.read.parquet(path)
     except AnalysisException:
         return None
     df = df.where(F.col("collection") == collection) if collection else df
-    return df.where(where) if where else df
+    return df.where(matching(where) if isinstance(where, dict) else where) if where else df
 
 
 def counts(spark: SparkSession, path: str, collections: tuple[str, ...] = ("policy_collection", "product_collection")) -> DataFrame:

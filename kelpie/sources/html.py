@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from html.parser import HTMLParser
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -132,15 +132,20 @@ def faq(root: Node) -> list[dict]:
 
 
 def policy(root: Node) -> list[dict]:
-    """Menu entries of the policy page, with the content saved for each in page order."""
+    """Menu entries of the policy page, with the content saved for each in page order; without one it is empty."""
     titles, contents = list(root.find(cls="warranty-options-item")), list(root.find(cls="warranty-content"))
-    return [{"title": _inner(t), "content": _inner(c)} for t, c in zip(titles, contents, strict=False)]
+    return [{"title": _inner(t), "content": _inner(c)} for t, c in zip_longest(titles, contents[: len(titles)])]
 
 
 def links(root: Node) -> list[str]:
     return [h for a in root.find(tag="a") if (h := a.attrs.get("href"))]
 
 
+def more_products(root: Node) -> bool:
+    """Whether a listing shows a button for more."""
+    return any("hidden" not in b.attrs for b in root.find(cls="button__show-more-product"))
+
+
 def heading(root: Node) -> str | None:
     return _inner(root.first(tag="h1")) or None
 
@@ -153,15 +158,12 @@ TYPES = {"catalog_links": "array<struct<href:string,name:string>>", "specs": _EN
 def parsed(html: Column, *what: str) -> Column:
     """A struct of what the readers take from each page, parsed once."""
 
-    @F.pandas_udf("string")
-    def read(pages: pd.Series) -> pd.Series:
-        def one(p: str | None) -> str:
-            root = tree(p)
-            return json.dumps({k: READERS[k](root) for k in what}, ensure_ascii=False)
-
-        return pages.map(one)
+    @F.pandas_udf(", ".join(f"{k} {TYPES[k]}" for k in what))
+    def read(pages: pd.Series) -> pd.DataFrame:
+        roots = [tree(p) for p in pages]
+        return pd.DataFrame({k: pd.Series([READERS[k](r) for r in roots], dtype=object) for k in what})
 
-    return F.from_json(read(html), ", ".join(f"{k} {TYPES[k]}" for k in what))
+    return read(html)
 
 
 def catalog(pages: DataFrame, base: str) -> DataFrame:

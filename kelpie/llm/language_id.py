@@ -13,6 +13,8 @@ The n-gram tables are fitted on a bounded sample of documents and have a fixed s
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,9 @@ NAMES = sorted({s for _, s in SCRIPTS})
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _OF = np.array([NAMES.index(s) for _, s in SCRIPTS])
 BUCKETS, PENALTY, FAR = 1 << 17, 12.0, -40.0
-CACHE, LONG = 600_000, 48
+CACHE = 600_000
+#: Buckets in a row of counts.
+CHUNK = 1 << 14
 SHARE = 0.02
 #: How far a text's mean log likelihood per n-gram may lie under the lower quartile of its language's learning documents:
 #: SLACK, and for few n-grams NOISE / sqrt(n) more. SCRIPT: least share of letters in words of the language's scripts.
@@ -68,43 +72,16 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """langs; table[bucket, lang] of log likelihoods; may[script, lang]; low[lang], the learning documents' lower quartile of fit, or None."""
 
-    def __init__(self, texts: list[tuple[str, str]], reject: bool = False) -> None:
-        self.langs = sorted({lang for lang, _ in texts})
-        n = len(self.langs)
-        counts, scripts = np.zeros((3 * BUCKETS, n)), np.zeros((len(NAMES), n))
-        for i, lang in enumerate(self.langs):
-            seen: dict[str, int] = {}
-            for own, t in texts:
-                if own == lang:
-                    for w in WORD.findall((t or "").lower()):
-                        seen[w] = seen.get(w, 0) + 1
-            words = list(seen)
-            for a in range(0, len(words), 20_000):
-                part = words[a : a + 20_000]
-                g, at, script = grams(part)
-                times = np.array([seen[w] for w in part])
-                counts[:, i] += np.bincount(g, np.repeat(times, np.diff(np.r_[at, len(g)])), 3 * BUCKETS)
-                scripts[:, i] += np.bincount(script, times * np.array([len(w) for w in part]), len(NAMES))
-        by_order = counts.reshape(3, BUCKETS, n)
-        self.table = np.log((by_order + 0.05) / (by_order.sum(1, keepdims=True) + 0.05 * 4096)).reshape(3 * BUCKETS, n).astype(np.float32)
+    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
+        """counts: n-grams by bucket and language; scripts: letters by script and language."""
+        self.langs = langs
+        self.table = np.empty(counts.shape, np.float32)
+        for i in range(len(langs)):
+            by_order = counts[:, i].reshape(3, BUCKETS).astype(np.float64)
+            self.table[:, i] = np.log((by_order + 0.05) / (by_order.sum(1, keepdims=True) + 0.05 * 4096)).ravel()
         self.may = scripts >= SHARE * np.maximum(scripts.sum(0, keepdims=True), 1)
-        self.low = self._lows(texts) if reject else None
-        self.key = hash((self.table[::97].tobytes(), reject))
-
-    def _lows(self, texts: list[tuple[str, str]]) -> np.ndarray:
-        low = np.full(len(self.langs), -np.inf)
-        for i, lang in enumerate(self.langs):
-            at: dict[str, int] = {}
-            docs = [np.array([at.setdefault(w, len(at)) for w in WORD.findall(t.lower())], np.int32) for own, t in texts if own == lang and t]
-            words = list(at)
-            parts = [self.fits(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
-            if parts:
-                fit, n, ok = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                fit, n = np.where(ok[:, i], fit[:, i], 0.0), np.where(ok[:, i], n, 0)
-                means = [fit[k].sum() / n[k].sum() for k in docs if n[k].sum()]
-                if means:
-                    low[i] = np.quantile(means, 0.25)
-        return low
+        self.low: np.ndarray | None = None
+        self.key = uuid.uuid4().hex
 
     def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its log likelihood under each language, its n-grams, and which languages are written in its script."""
@@ -121,13 +98,16 @@ class Model:
 
 
 def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The labels of a best path; ties go to the smaller label, and to staying."""
+    """The labels of a best path; ties go to the smaller label, and to staying.
+
+    The best single label is the path if no other label gains more than half a penalty on it over any stretch of words:
+    a path's departure in m runs of other labels costs m - 1 switches at least, and m if the label is met at either end.
+    """
     n, k = s.shape
-    total = s.sum(0, dtype=np.float64)
-    best = int(total.argmax())
-    gain = (s.max(1) - s[:, best]).astype(np.float64)
-    run = np.concatenate([[0.0], np.cumsum(gain)])
-    if k == 1 or run[-1] <= penalty:
+    best = int(s.sum(0, dtype=np.float64).argmax())
+    run = np.zeros((n + 1, k))
+    np.cumsum(s - s[:, best : best + 1], 0, dtype=np.float64, out=run[1:])
+    if k == 1 or (run[1:] - np.minimum.accumulate(run[:-1], 0)).max() <= penalty / 2:
         return np.full(n, best)
     back, score = np.empty((n, k), np.int8 if k < 128 else np.int32), s[0].astype(np.float64)
     stay = np.arange(k)
@@ -173,7 +153,7 @@ class Labeller:
         self.n = np.zeros(1 << 16, np.int64)
         self.fit, self.grams, self.ok = np.zeros_like(self.s), np.zeros_like(self.n), np.zeros(self.s.shape, bool)
 
-    def _index(self, words: list[str]) -> np.ndarray:
+    def index(self, words: list[str]) -> np.ndarray:
         try:
             return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         except KeyError:
@@ -194,7 +174,7 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float, list[str], np.ndarray]:
         words = WORD.findall(text.lower()) if text else []
-        k = self._index(words) if words else np.zeros(0, np.int64)
+        k = self.index(words) if words else np.zeros(0, np.int64)
         n = self.n[k]
         total = int(n.sum())
         if not total or not self.model.langs:
@@ -220,13 +200,19 @@ class Labeller:
 _labellers: dict = {}
 
 
+def _labeller(m: Model) -> Labeller:
+    """The worker's labeller of a model, which keeps its cache from task to task."""
+    key = (m.key, m.low is None or m.low.tobytes())
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(m)
+    return _labellers[key]
+
+
 def _labelled(model, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        if m.key not in _labellers:
-            _labellers.clear()
-            _labellers[m.key] = Labeller(m)
-        own = _labellers[m.key]
+        own = _labeller(m)
         for batch in batches:
             pred, score, found = [], [], []
             for t in batch.column(0).to_pylist():
@@ -246,18 +232,97 @@ def _labelled(model, spans: bool):
     return run
 
 
+def _tallied(langs: list[str]):
+    """Rows (lang, text) to rows (lang, chunk, places, counts): the n-grams of a task's texts by bucket, and its letters by script (chunk -1)."""
+    number = {lang: i for i, lang in enumerate(langs)}
+
+    def flush(i: int, seen: Counter) -> Iterator[pa.RecordBatch]:
+        words = list(seen)
+        total, scripts = np.zeros(3 * BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            g, at, script = grams(part)
+            times = np.array([seen[w] for w in part])
+            np.add.at(total, g, np.repeat(times, np.diff(np.r_[at, len(g)])))
+            np.add.at(scripts, script, times * np.array([len(w) for w in part]))
+        found = [(-1, scripts), *enumerate(total.reshape(-1, CHUNK))]
+        found = [(k, np.flatnonzero(x), x) for k, x in found if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int32()), pa.array([k for k, _, _ in found], pa.int32()), pa.array([p.astype(np.int32) for _, p, _ in found], pa.list_(pa.int32())), pa.array([x[p] for _, p, x in found], pa.list_(pa.int64()))], names=["lang", "chunk", "places", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = seen.setdefault(number[lang], Counter())
+                own.update(WORD.findall(text.as_py().lower()))
+                if len(own) > CACHE:
+                    yield from flush(number[lang], own)
+                    own.clear()
+        for i, own in seen.items():
+            if own:
+                yield from flush(i, own)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, chunk, places, counts) of all tasks, added up by (lang, chunk); a task holds its own chunks only."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for lang, chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            own = total.setdefault((lang, chunk), np.zeros(CHUNK, np.int64))
+            own[places.values.to_numpy()] += counts.values.to_numpy()
+    keys = list(total)
+    places = [np.flatnonzero(total[k]).astype(np.int32) for k in keys]
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array([total[k][p] for k, p in zip(keys, places, strict=True)], pa.list_(pa.int64()))], names=["lang", "chunk", "places", "counts"])
+
+
+def _means(model):
+    """Rows (lang, text) to rows (lang, mean): the mean log likelihood per n-gram of a text under its own language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _labeller(model.value)
+        for batch in batches:
+            langs, means = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                i = own.model.langs.index(lang)
+                k = own.index(WORD.findall(text.as_py().lower()))
+                k = k[own.ok[k, i]]
+                if n := int(own.grams[k].sum()):
+                    langs.append(lang)
+                    means.append(float(own.fit[k, i].sum(dtype=np.float64) / n))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(means, pa.float64())], names=["lang", "mean"])
+
+    return run
+
+
 def fit(learn: DataFrame, each: int = 1500, reject: bool = False) -> Model:
     """From rows (doc_id, text, lang): about `each` documents of a language at most, picked by a hash of doc_id.
 
-    reject: texts that fit no language, by likelihood or script, will be 'und'.
+    The n-grams are counted where the texts are; the driver gets at most 3 * BUCKETS counts of a language, as large as
+    the model it builds. reject: texts that fit no language, by likelihood or script, will be 'und'.
     """
-    learn = learn.where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    picked = F.lit(False)
-    for lang, n in counts.items():
-        picked = picked | ((F.col("lang") == lang) & (rank < int(1_000_000 * min(1.0, each / n))))
-    return Model([(r.lang, r.text) for r in learn.where(picked).select("lang", "text").collect()], reject)
+    spark = learn.sparkSession
+    prepare(spark)
+    learn = learn.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], np.zeros((3 * BUCKETS, 0)), np.zeros((len(NAMES), 0)))
+    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(1_000_000 * min(1.0, each / sizes[lang])))))
+    picked = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    schema = "lang int, chunk int, places array<int>, counts array<long>"
+    counts, scripts = np.zeros((3 * BUCKETS, len(langs)), np.float32), np.zeros((len(NAMES), len(langs)))
+    for r in picked.mapInArrow(_tallied(langs), schema).repartition("lang", "chunk").mapInArrow(_added, schema).collect():
+        into, base = (scripts, 0) if r.chunk < 0 else (counts, r.chunk * CHUNK)
+        into[np.array(r.places) + base, r.lang] = r.counts
+    model = Model(langs, counts, scripts)
+    if reject:
+        model.low = np.full(len(langs), -np.inf)
+        means = picked.mapInArrow(_means(spark.sparkContext.broadcast(model)), "lang string, mean double")
+        for r in means.groupBy("lang").agg(F.percentile("mean", 0.25).alias("low")).collect():
+            model.low[langs.index(r.lang)] = r.low
+    return model
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None, spans: bool = False) -> DataFrame:

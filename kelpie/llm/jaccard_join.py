@@ -38,6 +38,7 @@ CHUNK = 1 << 14
 #: Sets in a region that isn't split by pivots; sets in a region that one task gets.
 LEAF, REGION = 512, 2048
 SEEN = 1 << 20
+SECOND = 0x2545F4914F6CDD1D
 FILTER_BITS, CELL_BITS = 1 << 23, 1 << 25
 
 
@@ -45,29 +46,30 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _class(s: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
+def _class(s: np.ndarray, key: int = 0x5851F42D4C957F2D) -> int:
+    """A 64-bit digest of a set. Sets are the same where two digests by different keys and their sizes are."""
     with np.errstate(over="ignore"):
-        return int((mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) ^ (U(len(s)) * U(0x14057B7EF767814F))).astype(np.int64))
+        return int((mix(s ^ U(key)).sum(dtype=U) ^ (U(len(s)) * U(0x14057B7EF767814F))).astype(np.int64))
 
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            n, cls, sketch, seen = [], [], [], []
+            n, cls, cls2, sketch, seen = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 cls.append(_class(s))
+                cls2.append(_class(s, SECOND))
                 sketch.append(np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 seen.append(s)
             if seen:
                 total += np.bincount(((np.concatenate(seen) >> U(20)) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "cls", "sketch", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(cls2, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "cls", "cls2", "sketch", "chunk", "counts"])
         k = BUCKETS // CHUNK
         counts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(k, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["doc_id", "n", "cls", "sketch", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["doc_id", "n", "cls", "cls2", "sketch", "chunk", "counts"])
 
     return run
 
@@ -284,14 +286,17 @@ def _families(low: int):
 
 
 def _sets(width: int, wanted):
+    """Rows (doc_id, text, place in the filter) to rows (doc, n, cls, cls2, items) of those that pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             hit = bits[batch.column(2).to_numpy()]
             if hit.any():
                 part = batch.filter(pa.array(hit))
-                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(1), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+                rows = [(len(s), _class(s), _class(s, SECOND), np.sort(s.view(np.int64))) for s in shingle_sets(part.column(1), width)]
+                n, cls, cls2, sets = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n, cls, cls2)), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "cls", "cls2", "items"])
 
     return run
 
@@ -308,18 +313,24 @@ def _bits(rows: DataFrame, at, size: int) -> bytes:
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low: int = 90) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id) for docs with columns doc_id (long) and text.
 
-    low: the least similarity, in hundredths. class_id: the smallest doc_id with the same set. Null and empty texts
-    have no shingles and are alone, as is a row whose doc_id is null; repeated rows come back as often as they came.
-    Texts are read whole. Other columns are ignored. A set is held as 64-bit hashes of its shingles.
+    low: the least similarity, in hundredths; width: words in a shingle, up to 9. class_id: the smallest doc_id with the
+    same set; component_id: the smallest doc_id reachable. Null and empty texts have no shingles and are alone; a row
+    whose doc_id is null links with nothing and has null for both. Repeated rows come back as often as they came; rows
+    that share a doc_id but not a text are documents of their own, each linked by its own text. Texts are read whole.
+    Other columns are ignored. A set is held as 64-bit hashes of its shingles, and known by 128 bits and its size.
     """
+    if not 1 <= width <= 9:
+        raise ValueError("width must be 1 to 9")
     prepare(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, n long, cls long, sketch binary, chunk int, counts binary"
+    kinds = "doc_id long, n long, cls long, cls2 long, sketch binary, chunk int, counts binary"
     described = scratch.save(docs.mapInArrow(_describe(width), kinds), "described")
     weights = spark.sparkContext.broadcast(frequencies(described))
-    own = described.where("chunk is null").select("doc_id", "n", "cls", "sketch")
-    classes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
+    own = described.where("chunk is null").select("doc_id", "n", "cls", "cls2", "sketch")
+    # a set's id is its own, as a doc_id may have several; doc is the smallest doc_id that has the set
+    classes = own.where("n > 0 and doc_id is not null").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc"), F.min("sketch").alias("sketch"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # A task knows its own sets only: a set with copies in several tasks comes once from each, and an even number of them would cancel in x.
     cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long").dropDuplicates(["cell", "cls"]), "cells")
@@ -341,11 +352,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     pairs = scratch.save(couples.unionByName(edges).distinct(), "pairs")
     scratch.drop("cells", "kept")
 
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
-    wanted = spark.sparkContext.broadcast(_bits(ids, at, FILTER_BITS))
-    read = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").select("id", "text", at.alias("p")).mapInArrow(_sets(width, wanted), "id long, items array<long>")
-    sets = scratch.save(read.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.save(classes.join(ids, "id").select("id", "doc", "n", "cls", "cls2"), "ids")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+    wanted = spark.sparkContext.broadcast(_bits(ids, at("doc"), FILTER_BITS))
+    read = docs.where("doc_id is not null").select("doc_id", "text", at("doc_id").alias("p")).mapInArrow(_sets(width, wanted), "doc long, n long, cls long, cls2 long, items array<long>")
+    sets = scratch.save(read.join(ids, ["doc", "n", "cls", "cls2"]).dropDuplicates(["id"]).select("id", "items"), "sets")
     one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), "links")
@@ -360,7 +372,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
         rows = rows.select(F.explode(pair).alias("region"), "id", "comp").join(sets, "id").select("region", "id", "comp", "items")
         more = rows.repartition("region").sortWithinPartitions("region", "comp", "id").mapInArrow(_families(low), "a long, b long")
         comps = components(scratch, scratch.save(links.where("linked").select("a", "b").unionByName(more), "all-links"), "cc-b")
-    named = classes.join(comps, "id", "left").select("cls", "n", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
-    scratch.save(named, "named")
-    named = spark.read.schema(named.schema).parquet(f"{scratch.root}/named")
-    return own.join(named, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = comps.join(classes.select("id", "doc"), "id")
+    first = members.groupBy("component_id").agg(F.min("doc").alias("first"))
+    firsts = members.join(first, "component_id").select("id", "first")
+    named = classes.join(firsts, "id", "left").select("cls", "cls2", "n", F.col("doc").alias("class_id"), F.coalesce("first", "doc").alias("component_id"))
+    named = scratch.save(named, "named")
+    rows = own.where("n > 0 and doc_id is not null").join(named, ["cls", "cls2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    return rows.unionByName(own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import Scratch, prepare
+from kelpie.llm.common import Scratch, in_slices, prepare
 
 MERGE, INSERT, RELABEL = 1, 2, 3
 BLOCK = 4096
@@ -233,20 +233,20 @@ def repaired_turns(spark: SparkSession, turns: DataFrame, block: int = BLOCK) ->
     dealt = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq", *order[1:])
     whole = short.withColumn("entry", F.lit(None).cast("array<long>")).withColumn("exit", F.lit(None).cast("int")).withColumn("last", F.lit(True))
     schema = f"{OUT}, block long"
-    out = dealt(whole).mapInArrow(_repaired, schema)
+    out = dealt(whole).transform(in_slices, _repaired, schema)
     if not long_.isEmpty():
         many = turns.join(long_, same, "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
-        many = scratch.save(many.mapInArrow(_ranked(block), "conv_id long, turn long, role string, text string, block long, seq long"), "blocks")
+        many = scratch.save(many.transform(in_slices, _ranked(block), "conv_id long, turn long, role string, text string, block long, seq long"), "blocks")
         keys = "conv_id long, block long"
         renamed = lambda df: df.withColumnRenamed("conv_id", "c").withColumnRenamed("block", "b")
         at = same & (F.col("block") == F.col("b"))
-        entered = dealt(many).mapInArrow(_matrices, f"{keys}, m array<long>").groupBy("conv_id").applyInPandas(_entered, f"{keys}, entry array<long>, end int")
+        entered = dealt(many).transform(in_slices, _matrices, f"{keys}, m array<long>").groupBy("conv_id").applyInPandas(_entered, f"{keys}, entry array<long>, end int")
         entered = scratch.save(entered, "entered")
-        led = dealt(many.join(renamed(entered), at).drop("c", "b")).mapInArrow(_origins, f"{keys}, origins array<int>")
+        led = dealt(many.join(renamed(entered), at).drop("c", "b")).transform(in_slices, _origins, f"{keys}, origins array<int>")
         states = led.join(renamed(entered), at).drop("c", "b").groupBy("conv_id").applyInPandas(_left, f"{keys}, entry array<long>, exit int, last boolean")
         states = renamed(scratch.save(states, "states"))
         many = many.join(states, at).select("conv_id", "turn", "role", "text", "block", "seq", "entry", "exit", "last")
-        done = scratch.save(dealt(many).mapInArrow(_repaired, schema), "done")
+        done = scratch.save(dealt(many).transform(in_slices, _repaired, schema), "done")
         made = done.groupBy("conv_id", "block").agg((F.max("out_turn") + 1).alias("made"))
         before = F.coalesce(F.sum("made").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         made = made.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), before.alias("before"))

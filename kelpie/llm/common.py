@@ -6,28 +6,32 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to Python at once; texts may be long, so fewer than Spark's 10,000.
-ARROW_ROWS = 1024
+#: Rows of a batch that a worker takes up at once. Spark bounds a batch's bytes, not what is made of them.
+ROWS = 1024
 #: Edges that one task joins to components at most.
 FEW = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: small Arrow batches, and a path for workers to find this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """A path for local workers to find this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+def in_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), where run gets ROWS rows at once, whatever the session's batches are."""
+    return df.mapInArrow(lambda batches: run(b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one on a local master where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

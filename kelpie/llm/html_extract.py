@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import prepare
+from kelpie.llm.common import in_slices, prepare
 from kelpie.llm.html_pages import labelled_pages
 
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
@@ -248,4 +248,4 @@ def main_texts(spark: SparkSession, pages: DataFrame, field: Field | None = None
     """
     prepare(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracted(spark.sparkContext.broadcast(field or train())), "page_id long, url string, text string, n_chars long")
+    return rows.transform(in_slices, _extracted(spark.sparkContext.broadcast(field or train())), "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import prepare
+from kelpie.llm.common import in_slices, prepare
 from kelpie.llm.shingles import U, mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -313,13 +313,13 @@ def fit(learn: DataFrame, each: int = 1500, reject: bool = False) -> Model:
     picked = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).select("lang", "text")
     schema = "lang int, chunk int, places array<int>, counts array<long>"
     counts, scripts = np.zeros((3 * BUCKETS, len(langs)), np.float32), np.zeros((len(NAMES), len(langs)))
-    for r in picked.mapInArrow(_tallied(langs), schema).repartition("lang", "chunk").mapInArrow(_added, schema).collect():
+    for r in picked.transform(in_slices, _tallied(langs), schema).repartition("lang", "chunk").transform(in_slices, _added, schema).collect():
         into, base = (scripts, 0) if r.chunk < 0 else (counts, r.chunk * CHUNK)
         into[np.array(r.places) + base, r.lang] = r.counts
     model = Model(langs, counts, scripts)
     if reject:
         model.low = np.full(len(langs), -np.inf)
-        means = picked.mapInArrow(_means(spark.sparkContext.broadcast(model)), "lang string, mean double")
+        means = picked.transform(in_slices, _means(spark.sparkContext.broadcast(model)), "lang string, mean double")
         for r in means.groupBy("lang").agg(F.percentile("mean", 0.25).alias("low")).collect():
             model.low[langs.index(r.lang)] = r.low
     return model
@@ -336,4 +336,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]
     rows = docs.select(F.col("text").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     more = ", spans array<struct<first:int,words:int,lang:string>>" if spans else ""
-    return rows.mapInArrow(_labelled(spark.sparkContext.broadcast(model), spans), f"{fields}, lang_pred string, score double{more}")
+    return rows.transform(in_slices, _labelled(spark.sparkContext.broadcast(model), spans), f"{fields}, lang_pred string, score double{more}")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import Scratch, components, prepare
+from kelpie.llm.common import Scratch, components, in_slices, prepare
 from kelpie.llm.shingles import U, mix
 
 TABLES, BLOCKS_OF, PROBES, SCALE = 6, 2, 2, 4.0
@@ -238,11 +238,11 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     prepare(spark)
     scratch = Scratch(spark, "lattice")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    base = scratch.save(base.mapInArrow(_read, "vec_id long, label long, dim int, vec binary"), "base").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.md5("vec")))
+    base = scratch.save(base.transform(in_slices, _read, "vec_id long, label long, dim int, vec binary"), "base").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.md5("vec")))
     same = base.where("digest is not null").groupBy("label", "digest", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.min("vec").alias("vec"))
     # an id of its own, as a vec_id may have several vectors
     same = scratch.save(same.withColumn("id", F.monotonically_increasing_id()), "same")
-    filed = scratch.save(same.select("id", "label", "dim", "vec").mapInArrow(_file(seed), "id long, cells array<long>, home array<boolean>"), "filed")
+    filed = scratch.save(same.select("id", "label", "dim", "vec").transform(in_slices, _file(seed), "id long, cells array<long>, home array<boolean>"), "filed")
     at = filed.select("id", F.explode(F.arrays_zip("cells", "home")).alias("x")).select("id", F.col("x.cells").alias("cell"), F.col("x.home").alias("home")).groupBy("cell", "id").agg(F.max("home").alias("home"))
     met = at.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
     members = at.join(met, "cell").join(same.select("id", "weight", "dim", "vec"), "id").join(filed.select("id", "cells"), "id")
@@ -251,7 +251,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     ks = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     members = members.withColumn("k", F.explode(ks))
     members = members.select(F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("k", "part"), F.greatest("k", "part"))).alias("region"), "cell", F.when((F.col("parts") == 1) | (F.col("k") == F.col("part")), 0).when(F.col("part") < F.col("k"), 1).otherwise(2).alias("side"), "id", "weight", "dim", "vec", "cells")
-    found = scratch.save(members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_links(least), "id long, n long, other long"), "found")
+    found = scratch.save(members.repartition("region").sortWithinPartitions("region", "id").transform(in_slices, _links(least), "id long, n long, other long"), "found")
     comps = components(scratch, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     linked = comps.join(same.select("id", "first"), "id")

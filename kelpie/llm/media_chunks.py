@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import Scratch, prepare
+from kelpie.llm.common import Scratch, in_slices, prepare
 
 LEAST, BITS, MOST = 512, 11, 16384
 FILTER_BITS = 1 << 24
@@ -198,9 +198,9 @@ def store(spark: SparkSession, docs: DataFrame, unit: int = 576) -> tuple[DataFr
     prepare(spark)
     scratch = Scratch(spark, "media")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = docs.select("text").mapInArrow(_digests(unit), "k1 long, k2 long")
+    keys = docs.select("text").transform(in_slices, _digests(unit), "k1 long, k2 long")
     repeated = spark.sparkContext.broadcast(_bits(keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")))
-    written = scratch.save(docs.mapInArrow(_store(unit, repeated), f"{LISTS}, s1 long, s2 long, data binary"), "written")
+    written = scratch.save(docs.transform(in_slices, _store(unit, repeated), f"{LISTS}, s1 long, s2 long, data binary"), "written")
     lists = written.where("m1 is not null").drop("s1", "s2", "data")
     kept = scratch.save(written.where("s1 is not null").select("s1", "s2", "data").dropDuplicates(["s1", "s2"]), "chunks")
     return lists, kept
@@ -211,11 +211,11 @@ def describe(lists: DataFrame, kept: DataFrame) -> DataFrame:
     whole, some = "manifest is not null and not exists(shared, x -> x)", "manifest is not null and exists(shared, x -> x)"
     columns = ["manifest", "shared", "own", "parts"]
     alone = lists.where(whole).withColumn("parts", F.lit(None).cast("array<binary>")).select("doc_id", *columns)
-    first = alone.mapInArrow(_read(["doc_id"]), f"doc_id long, {RESULT}")
+    first = alone.transform(in_slices, _read(["doc_id"]), f"doc_id long, {RESULT}")
     once = lists.where(some).drop("doc_id").dropDuplicates(["m1", "m2"])
     refs = once.select("m1", "m2", F.posexplode(F.arrays_zip("r1", "r2")).alias("p", "x")).select("m1", "m2", "p", F.col("x.r1").alias("s1"), F.col("x.r2").alias("s2"))
     parts = refs.join(kept, ["s1", "s2"]).groupBy("m1", "m2").agg(F.sort_array(F.collect_list(F.struct("p", "data"))).alias("x")).select("m1", "m2", F.col("x.data").alias("parts"))
-    read = once.join(parts, ["m1", "m2"]).select("m1", "m2", *columns).mapInArrow(_read(["m1", "m2"]), f"m1 long, m2 long, {RESULT}")
+    read = once.join(parts, ["m1", "m2"]).select("m1", "m2", *columns).transform(in_slices, _read(["m1", "m2"]), f"m1 long, m2 long, {RESULT}")
     rest = lists.where(f"manifest is null or {some}").select("doc_id", "m1", "m2")
     return first.unionByName(rest.join(read, ["m1", "m2"]).drop("m1", "m2"))
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import Scratch, prepare
+from kelpie.llm.common import Scratch, in_slices, prepare
 
 #: A single space belongs to what follows it and a longer run ends before its last space, so tokens never cross the
 #: beginning of a run of spaces: each such part of a text is encoded by itself.
@@ -334,7 +334,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 1024,
     prepare(spark)
     scratch = Scratch(spark, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int"
-    pieces = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, capacity, end), schema), "pieces")
+    pieces = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_slices, _cut(path, capacity, end), schema), "pieces")
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -342,4 +342,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 1024,
     LOG.info("%d sequences, at least %d are needed", sum(times for _, times in filled), least)
     table = spark.sparkContext.broadcast(_places(filled, capacity))
     ranked = pieces.join(before.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").transform(in_slices, _place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import prepare
+from kelpie.llm.common import in_slices, prepare
 
 PRETOKEN = re.compile(r"\n| *[^ \n]+| +")
 CACHE, LONG = 1 << 20, 64
@@ -103,8 +103,8 @@ def _merged(most: int):
 def frequent_pretokens(docs: DataFrame, most: int) -> list[str]:
     """The most frequent pre-tokens of docs (text), nearly: those frequent in few tasks only may be missed."""
     kinds = "keys array<string>, counts array<long>"
-    sketches = docs.select("text").mapInArrow(_frequent(min(most, SKETCH)), kinds)
-    merged = sketches.repartition(FAN).mapInArrow(_merged(most), kinds).coalesce(1).mapInArrow(_merged(most), kinds)
+    sketches = docs.select("text").transform(in_slices, _frequent(min(most, SKETCH)), kinds)
+    merged = sketches.repartition(FAN).transform(in_slices, _merged(most), kinds).coalesce(1).transform(in_slices, _merged(most), kinds)
     return [k for r in merged.collect() for k in r["keys"]]
 
 
@@ -153,5 +153,5 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = frequent_pretokens(docs, frequent)
     table = spark.sparkContext.broadcast(dict(zip(keys, lengths(path, keys), strict=True)) if keys else {})
-    out = docs.mapInArrow(_count(path, table), "doc_id long, n_bytes long, n_tokens long")
+    out = docs.transform(in_slices, _count(path, table), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,4 +1,8 @@
-"""The operators' queries over their whole tables, and SQL for those that SQL expresses."""
+"""The operators' queries over their whole tables, and SQL for those that SQL expresses (oracle.py).
+
+SQL can't express the tokenizers, models, media forms, packings and seeded choices of the others; those are tested
+against brute force, exact round trips and held-out rows in tests/llm.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kelpie.llm import chat_format, html_extract, jaccard_join, language_id, lattice_dedup, media_chunks, mixing, packing, quality, token_counts
 from kelpie.llm.common import prepare
+from kelpie.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -76,7 +81,3 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_format, op3_lattice_dedup, op4_token_counts, op5_packing, op6_media_chunks, op7_quality, op8_mixing, op9_language_id, op10_html_extraction)}
-
-#: None: SQL can't express the tokenizers, models, media forms and packings, nor joins of sets without listing all
-#: pairs; those are tested against brute force and held-out rows in tests/llm.
-ORACLE_SQL: dict[str, str] = {}

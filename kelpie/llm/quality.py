@@ -100,6 +100,22 @@ def _paths(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], names: list[
         _paths(x, bins, cuts, names, g, side, depth - 1, leaf, rule, out, fit)
 
 
+def lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 800) -> np.ndarray:
+    """The start and weights that minimise the mean logistic loss plus penalty times the weights' absolute sum, by FISTA."""
+    p = float(y.mean())
+    one = np.c_[np.ones(len(a)), a]
+    step = 4 * len(a) / max(float(np.linalg.norm(one.T @ one, 2)), 1e-9)
+    w = v = np.r_[np.log(p / (1 - p)), np.zeros(a.shape[1])]
+    t = 1.0
+    for _ in range(rounds):
+        grad = one.T @ (1 / (1 + np.exp(-(one @ v))) - y) / len(a)
+        new = v - step * grad
+        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / nt * (new - w), new, nt
+    return w
+
+
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth: int = 3, leaf: int = 15, penalty: float = 2e-4, seed: int = 7) -> Rules:
     """Rules from boosted trees, each on half of the rows, and their lasso weights by FISTA."""
     if not len(y) or y.min() == y.max():
@@ -125,16 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth:
     a = holds(x, names, rules)
     keep = [j for j in range(len(rules)) if 0 < a[:, j].mean() < 1]
     rules, a = [rules[j] for j in keep], a[:, keep]
-    one = np.c_[np.ones(len(a)), a]
-    step = 4 * len(a) / max(float(np.linalg.norm(one.T @ one, 2)), 1e-9)
-    w = v = np.r_[np.log(p / (1 - p)), np.zeros(len(rules))]
-    t = 1.0
-    for _ in range(800):
-        grad = one.T @ (1 / (1 + np.exp(-(one @ v))) - y) / len(a)
-        new = v - step * grad
-        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / nt * (new - w), new, nt
+    w = lasso(a, y, penalty)
     on = np.flatnonzero(np.abs(w[1:]) > 1e-6)
     return Rules([rules[j] for j in on], [float(w[1 + j]) for j in on], float(w[0]))
 

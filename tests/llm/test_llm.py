@@ -378,6 +378,44 @@ def test_quality(spark, docs):
     assert none.rules == []
 
 
+def test_lasso_is_optimal():
+    """At the minimum the loss's slope is 0 for the start, minus the penalty's for weights, and within it for those at 0."""
+    rng = np.random.default_rng(3)
+    a = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * a[:, 0] - 1.5 * a[:, 3] + 0.3)))).astype(float)
+    for penalty in (0.002, 0.02, 0.2):
+        w = quality.lasso(a, y, penalty, rounds=5000)
+        slope = np.c_[np.ones(400), a].T @ (1 / (1 + np.exp(-(w[0] + a @ w[1:]))) - y) / 400
+        assert abs(slope[0]) < 1e-5
+        assert all(abs(g + penalty * np.sign(v)) < 1e-5 if abs(v) > 1e-9 else abs(g) <= penalty + 1e-5 for g, v in zip(slope[1:], w[1:], strict=True))
+
+
+def test_first_split_is_best():
+    """A tree's first condition is the one, of all statistics and thresholds, with the largest fall of the squared error."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x, g = rng.integers(0, 9, (80, 3)).astype(float), rng.standard_normal(80)
+        cuts = [np.unique(c) for c in x.T]
+        bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1)
+        out: list = []
+        quality._paths(x, bins, cuts, ["a", "b", "c"], g, np.arange(80), 1, 5, (), out, np.zeros(80))
+        error = lambda v: ((v - v.mean()) ** 2).sum()
+        best = min(error(g[x[:, f] <= t]) + error(g[x[:, f] > t]) for f in range(3) for t in cuts[f] if 5 <= (x[:, f] <= t).sum() <= 75)
+        name, over, at = out[0][0]
+        side = x[:, "abc".index(name)] <= at
+        assert not over and abs(error(g[side]) + error(g[~side]) - best) < 1e-9
+
+
+def test_rules_of_odd_tables(spark):
+    """Null and empty texts score too; without labels, or with one kind only, all score alike; repeated and null labels."""
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (2, "", 1), (None, "x " * 50_000, 1)], "doc_id long, text string, t int").selectExpr("*", "1 as n", "2 as w", "3 as l", "4 as chars", "5 as score")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (2, 1)], "doc_id long, quality int").selectExpr("*", "1 as text")
+    rules = quality.learn(docs, labels)
+    rows = quality.scored(spark, quality.statistics(docs, ["doc_id"]), rules).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 and r.predicted == 1 for r in rows) and rules.rules == []
+    assert quality.scored(spark, quality.statistics(docs.limit(0), ["doc_id"]), rules).count() == 0
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix(spark, docs).collect()
     again = mixing.mix(spark, docs.repartition(3)).collect()

@@ -13,14 +13,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that a worker takes up at once. Spark bounds a batch's bytes, not what is made of them.
+#: Rows of a batch that a worker takes up at once, and that are sent to it at once.
 ROWS = 1024
 #: Edges that one task joins to components at most.
 FEW = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """A path for local workers to find this package."""
+    """A path for local workers to find this package, and batches of ROWS rows at most.
+
+    The batches are a setting of the session; results don't depend on it, but executors' memory does: texts come in
+    batches of up to 64 MB without it, one in the JVM and one in the worker of each core.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS:
+        spark.conf.set(setting, str(ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -12,11 +12,11 @@ text to every region. So the regions are made in two levels:
    symmetric difference. Regions over LEAF sets are split by pivots taken from the sets themselves; a set within
    twice the threshold of another pivot's border, by the triangle inequality, is copied there; recursively.
 
-As components are asked for, a leaf yields a spanning forest of the pairs within the L1 bound, not all of them. Those
-are verified on the whole sets. The forests of all regions fall into families, each set in one: two linked sets are in
-the same. Where a pair of a family fails, the family's sets meet once more, whole, and a forest of verified links is
-grown between the components it has so far; so no link between different components is lost, and none that isn't
-verified is used.
+As components are asked for, a leaf yields a spanning forest of the pairs within the L1 bound, not all of them. The
+forests of all regions fall into families, each set in one: two linked sets are in the same. A spanning forest of each
+family is verified on the whole sets; where all of it holds, the family is a component. Where a pair fails, the
+family's sets meet once more, whole, and a forest of verified links is grown between the components it has so far; so
+no link between different components is lost, and none that isn't verified is used.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import Scratch, components, prepare
+from kelpie.llm.common import FEW, Scratch, components, in_slices, prepare
 from kelpie.llm.shingles import U, mix, shingle_sets
 
 BINS = 64
@@ -86,7 +86,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequencies(described: DataFrame) -> np.ndarray:
     """Shingles of all texts in each hash bucket: a fixed 4 MB, whatever the input."""
-    rows = described.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
+    rows = described.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").transform(in_slices, _add_counts, "chunk int, counts binary")
     out = np.zeros(BUCKETS, np.int32)
     for r in rows.collect():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int32)
@@ -285,6 +285,42 @@ def _families(low: int):
     return run
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that make a spanning forest of all."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, at, root, kept = ends[: len(a)], ends[len(a) :], np.arange(len(a)), np.arange(len(ids)), []
+    while len(at):
+        x, y = root[i], root[j]
+        open_ = x != y
+        i, j, at, x, y = (z[open_] for z in (i, j, at, x, y))
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        root[high] = np.minimum(x, y)[first]  # each root is hung under a smaller one, so no ring closes
+        kept.append(at[first])
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, a, b), sorted by part, to a spanning forest (a, b) of each part."""
+    rest = None
+
+    def flush(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        keep = np.concatenate([s + _spanning(a[s:e], b[s:e]) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(3)]
+        rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cut = int((rest[0] == rest[0][-1]).argmax())
+        if cut:
+            yield flush(*(x[:cut] for x in rest))
+            rest = [x[cut:] for x in rest]
+    if rest is not None:
+        yield flush(*rest)
+
+
 def _sets(width: int, wanted):
     """Rows (doc_id, text, place in the filter) to rows (doc, n, cls, cls2, items) of those that pass."""
 
@@ -325,53 +361,66 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, n long, cls long, cls2 long, sketch binary, chunk int, counts binary"
-    described = scratch.save(docs.mapInArrow(_describe(width), kinds), "described")
+    described = scratch.save(docs.transform(in_slices, _describe(width), kinds), "described")
     weights = spark.sparkContext.broadcast(frequencies(described))
     own = described.where("chunk is null").select("doc_id", "n", "cls", "cls2", "sketch")
     # a set's id is its own, as a doc_id may have several; doc is the smallest doc_id that has the set
     classes = own.where("n > 0 and doc_id is not null").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc"), F.min("sketch").alias("sketch"))
     classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    # A task knows its own sets only: a set with copies in several tasks comes once from each, and an even number of them would cancel in x.
-    cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_windows(width, low, weights), "cell long, cls long").dropDuplicates(["cell", "cls"]), "cells")
-    # A digest is its own hash: in a region of one set, as most are before they are combined, three columns are equal and compress away.
-    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    # A task knows its own sets only: a set with copies in several tasks comes once from each. Most regions have one
+    # set, so these go first, by their least and greatest set alone; the others' sets are then made distinct, as an even
+    # number of one would cancel in x.
+    cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").transform(in_slices, _windows(width, low, weights), "cell long, cls long"), "cells")
+    shared = scratch.save(cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("cell"), "shared")
+    bits = spark.sparkContext.broadcast(_bits(shared, F.col("cell").bitwiseAND(CELL_BITS - 1), CELL_BITS))
+    cells = scratch.save(cells.transform(in_slices, _among(bits), "cell long, cls long").join(shared, "cell", "left_semi").dropDuplicates(["cell", "cls"]), "members")
+    scratch.drop("cells")
+    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     # regions with the same sets count once; those of two sets are known by their least and greatest
     kept = scratch.save(met.groupBy("m", "x", "lo", "hi").agg(F.min("cell").alias("cell")), "kept")
     one, two = (classes.select(F.col("cls").alias(c), F.col("id").alias(f"i_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("lo", "hi"))
-    couples = kept.where("m = 2").select("lo", "hi").distinct().join(one, "lo").join(two, "hi").select("i_lo", "n_lo", "s_lo", "i_hi", "n_hi", "s_hi").mapInArrow(_couples(low), "a long, b long")
+    couples = kept.where("m = 2").select("lo", "hi").distinct().join(one, "lo").join(two, "hi").select("i_lo", "n_lo", "s_lo", "i_hi", "n_hi", "s_hi").transform(in_slices, _couples(low), "a long, b long")
 
     many = kept.where("m > 2").select("cell", F.ceil(F.col("m") / F.lit(REGION)).cast("int").alias("parts"))
-    bits = spark.sparkContext.broadcast(_bits(many, F.col("cell").bitwiseAND(CELL_BITS - 1), CELL_BITS))
-    members = cells.mapInArrow(_among(bits), "cell long, cls long").join(many, "cell").join(classes, "cls")
+    members = cells.join(many, "cell").join(classes, "cls")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     # A region too large for one task is dealt out by pairs of parts, each of which gets the sets of both.
     pair = F.when(F.col("parts") == 1, F.array(F.col("cell"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("cell", F.least(k, part), F.greatest(k, part))))
     members = members.select(F.explode(pair).alias("region"), "id", "n", "sketch")
-    edges = members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_regions(low), "a long, b long")
+    edges = members.repartition("region").sortWithinPartitions("region", "id").transform(in_slices, _regions(low), "a long, b long")
     pairs = scratch.save(couples.unionByName(edges).distinct(), "pairs")
-    scratch.drop("cells", "kept")
+    scratch.drop("members", "shared", "kept")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = scratch.save(classes.join(ids, "id").select("id", "doc", "n", "cls", "cls2"), "ids")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
     wanted = spark.sparkContext.broadcast(_bits(ids, at("doc"), FILTER_BITS))
-    read = docs.where("doc_id is not null").select("doc_id", "text", at("doc_id").alias("p")).mapInArrow(_sets(width, wanted), "doc long, n long, cls long, cls2 long, items array<long>")
-    sets = scratch.save(read.join(ids, ["doc", "n", "cls", "cls2"]).dropDuplicates(["id"]).select("id", "items"), "sets")
+    read = docs.where("doc_id is not null").select("doc_id", "text", at("doc_id").alias("p")).transform(in_slices, _sets(width, wanted), "doc long, n long, cls long, cls2 long, items array<long>")
+    sets = scratch.save(read.join(ids, ["doc", "n", "cls", "cls2"]).dropDuplicates(["doc", "n", "cls", "cls2"]).select("id", "items"), "sets")
+
+    # Of a family's pairs a spanning forest is verified; where all of it holds, the family is a component.
+    family = components(scratch, pairs, "cc-f")
+    of = family.select(F.col("id").alias("a"), F.col("component_id").alias("family"))
+    parts = pairs.join(of, "a")
+    count = parts.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FEW)).cast("int").alias("parts"))
+    parts = parts.join(count, "family").select(F.xxhash64("family", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).alias("part"), "a", "b")
+    forest = scratch.save(parts.repartition("part").sortWithinPartitions("part").transform(in_slices, _thin, "a long, b long"), "forest")
     one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), "links")
-    comps = components(scratch, links.where("linked"), "cc-a")
+    links = scratch.save(forest.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), "links")
+    comps = family
     if not links.where("not linked").isEmpty():
-        family = components(scratch, pairs, "cc-f")
-        failed = links.where("not linked").join(family, F.col("a") == F.col("id")).groupBy("component_id").agg(F.count("*").alias("failed"))
-        own_family = family.join(failed, "component_id").select("id", F.col("component_id").alias("family"))
+        failed = scratch.save(links.where("not linked").join(of, "a").select("family").distinct(), "failed")
+        linked = links.where("linked").select("a", "b")
+        comps = components(scratch, linked, "cc-a")
+        own_family = family.withColumnRenamed("component_id", "family").join(failed, "family", "left_semi")
         size = own_family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(REGION)).cast("int").alias("parts"))
         rows = own_family.join(size, "family").join(comps, "id", "left").select("family", "parts", "id", F.coalesce("component_id", "id").alias("comp"))
         pair = F.when(F.col("parts") == 1, F.array(F.col("family"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("family", F.least(k, part), F.greatest(k, part))))
         rows = rows.select(F.explode(pair).alias("region"), "id", "comp").join(sets, "id").select("region", "id", "comp", "items")
-        more = rows.repartition("region").sortWithinPartitions("region", "comp", "id").mapInArrow(_families(low), "a long, b long")
-        comps = components(scratch, scratch.save(links.where("linked").select("a", "b").unionByName(more), "all-links"), "cc-b")
+        more = rows.repartition("region").sortWithinPartitions("region", "comp", "id").transform(in_slices, _families(low), "a long, b long")
+        comps = components(scratch, scratch.save(linked.unionByName(more), "all-links"), "cc-b")
     members = comps.join(classes.select("id", "doc"), "id")
     first = members.groupBy("component_id").agg(F.min("doc").alias("first"))
     firsts = members.join(first, "component_id").select("id", "first")

@@ -112,8 +112,7 @@ def _windows(width: int, low: int, weights):
                     done.clear()
                 done.add(c)
                 if keep < n:
-                    order = (weight[((s >> U(20)) & U(BUCKETS - 1)).astype(np.int64)].astype(U) << U(32)) | (mix(s) >> U(32))
-                    s = s[np.argpartition(order, keep - 1)[:keep]]
+                    s = s[np.argsort(weight[((s >> U(20)) & U(BUCKETS - 1)).astype(np.int64)], kind="stable")[:keep]]  # s is sorted, so ties go by the whole hash
                 cells.append(s)
                 owners.append(c)
                 sizes.append(len(s))

@@ -34,4 +34,16 @@ first as (select id, min(r) as c from reach group by id),
 counts as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept from v join first on id = vec_id left join counts on a = vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": JACCARD, "op2_chat_format": CHAT, "op3_lattice_dedup": LATTICE}
+#: All documents that share a term with an item are scored.
+RANKED = r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+size as (select count(*) as nn, cast(coalesce(sum(len(w)), 0) as bigint) as ll from d where len(w) > 0),
+post as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by r, term),
+asked as (select row_number() over () as q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+terms as (select q, unnest(t) as term from asked),
+weight as (select term, cast(floor(1000 * ln((2.0 * nn + 2) / (2.0 * df + 1))) as bigint) as weight from (select term, count(*) as df from post group by term), size),
+value as (select p.r, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * nn) // ll)) as v from post p join d on p.r = d.r, size where term in (select term from terms)),
+scored as (select q, r, cast(sum(weight * v) as bigint) as score from terms join weight using (term) join value using (term) group by q, r having sum(weight * v) > 0),
+placed as (select q, doc_id, score, cast(row_number() over (partition by q order by score desc, doc_id nulls last, r) as int) as rank from scored join d using (r))
+select item_id, rank, doc_id, score from placed join asked using (q) where rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": JACCARD, "op2_chat_format": CHAT, "op3_lattice_dedup": LATTICE, "op12_ranked_search": RANKED}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat_format, html_extract, jaccard_join, language_id, lattice_dedup, media_chunks, mixing, packing, quality, token_counts
+from kelpie.llm import chat_format, html_extract, jaccard_join, language_id, lattice_dedup, lexical_index, license_scan, media_chunks, mixing, packing, quality, token_counts, whitening
 from kelpie.llm.common import prepare
 from kelpie.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -80,4 +80,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(spark, _table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_format, op3_lattice_dedup, op4_token_counts, op5_packing, op6_media_chunks, op7_quality, op8_mixing, op9_language_id, op10_html_extraction)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.ranked(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_format, op3_lattice_dedup, op4_token_counts, op5_packing, op6_media_chunks, op7_quality, op8_mixing, op9_language_id, op10_html_extraction, op11_whitening, op12_ranked_search, op13_license_scan)}

@@ -264,7 +264,7 @@ def _singles() -> list[Rule]:
     out = []
     for label, priority, score, words in (map(str.strip, x.split(" | ")) for x in _lines(SINGLE)):
         out.append(Rule(label, int(priority), int(score) / 100, words))
-    names = sorted({r.label for r in out if r.priority == 4 and re.fullmatch("[a-z0-9-]+", r.label)})
+    names = sorted({r.label for r in out if 2 <= r.priority <= 4 and re.fullmatch("[a-z0-9-]+", r.label)})
     return out + [Rule(n, 0, 1.0, f">spdx licen[cs]e identifier {n.replace('-', ' ')}") for n in names]
 
 
@@ -272,7 +272,7 @@ def _joined(rules: list[Rule]) -> list[Rule]:
     """Rules whose keyword ends in a version written without a space, such as gplv3, get a keyword for each way to write it."""
     out = []
     for r in rules:
-        if m := re.fullmatch(r">([a-z]+)v\?(\d)(\(\?: 0\)\?| \d+|)", r.pattern):
+        if m := re.fullmatch(r">([a-z]+)v\?(\d)(\(\?: 0\)\?| \w+|)", r.pattern):
             out += [Rule(r.label, r.priority, r.score, f">{m[1]}{v}{m[2]}{m[3]}") for v in ("", "v")]
         else:
             out.append(r)

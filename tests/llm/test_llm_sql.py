@@ -10,13 +10,16 @@ DATA = "/root/testdata/sf0.001"
 SOME = {
     "op4_token_counts": "select doc_id, strlen(coalesce(text, '')) as n_bytes from documents",
     "op6_media_chunks": "select doc_id, strlen(coalesce(text, '')) as n_bytes, greatest(1, (strlen(coalesce(text, '')) + 575) // 576) * 576 as payload_bytes, sha256(cast(encode(coalesce(text, '')) || repeat('\\xFF'::blob, cast(greatest(1, (strlen(coalesce(text, '')) + 575) // 576) * 576 - strlen(coalesce(text, '')) as bigint)) as blob)) as payload_sha256 from documents",
+    "op13_license_scan": r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, len(w) as n_words, flatten([list_transform(list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + x.more], ' ') = x.phrase), lambda i: {'at': i - 1, 'label': x.label}) for x in [{'phrase': 'gnu general public license', 'more': 3, 'label': 'gpl'}, {'phrase': 'apache license', 'more': 1, 'label': 'apache'}, {'phrase': 'cc by', 'more': 1, 'label': 'cc-by'}, {'phrase': 'mit license', 'more': 1, 'label': 'mit'}]]) as x from d)
+select doc_id, n_words, len(x) as n_base, list_min(list_transform(x, lambda y: y.at)) as first_word, list_max(list_transform(x, lambda y: y.at)) as last_word, array_to_string(list_sort(list_distinct(list_transform(x, lambda y: y.label))), ',') as base_labels from p""",
     "op8_mixing": r"with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents) select doc_id, size, cast(sum(size) over (partition by source) as bigint) as source_size from d",
 }
 
 
 def tables():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 

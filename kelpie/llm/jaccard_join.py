@@ -39,7 +39,9 @@ CHUNK = 1 << 14
 LEAF, REGION = 512, 2048
 SEEN = 1 << 20
 SECOND = 0x2545F4914F6CDD1D
-FILTER_BITS, CELL_BITS = 1 << 23, 1 << 25
+FILTER_BITS, CELL_BITS = 1 << 23, 1 << 26
+#: Cells that a task packs at once.
+PRINTS = 1 << 20
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -93,26 +95,77 @@ def frequencies(described: DataFrame) -> np.ndarray:
     return out
 
 
-def _windows(width: int, low: int, weights):
-    """low: the threshold in hundredths."""
+def _set_windows(texts: pa.Array, width: int, low: int, weight: np.ndarray, done: set) -> Iterator[tuple[int, np.ndarray]]:
+    """Digest and window of each set that isn't done. low: the threshold in hundredths."""
+    for s in shingle_sets(texts, width):
+        n = len(s)
+        keep = n - -(-low * n // 100) + 1
+        if not n or (n + 1) * low > 100 * n:  # no other set is within the threshold
+            continue
+        c = _class(s)
+        if c in done:
+            continue
+        if len(done) >= SEEN:
+            done.clear()
+        done.add(c)
+        # s is sorted, so ties go by the whole hash
+        yield c, s[np.argsort(weight[((s >> U(20)) & U(BUCKETS - 1)).astype(np.int64)], kind="stable")[:keep]] if keep < n else s
+
+
+def _prints(width: int, low: int, weights, bits: int):
+    """Texts to rows (part, prints): the cells of all windows by their first bits, each as its next 32 bits."""
+
+    def packed(cells: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.sort(np.concatenate(cells) >> U(32 - bits))
+        parts, at = np.unique(codes >> U(32), return_index=True)
+        prints = codes.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([x.tobytes() for x in np.split(prints, at[1:])], pa.binary())], names=["part", "prints"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, done = weights.value, set()
+        weight, done, cells, n = weights.value, set(), [], 0
+        for batch in batches:
+            for _, s in _set_windows(batch.column(0), width, low, weight, done):
+                cells.append(s)
+                n += len(s)
+                if n >= PRINTS:
+                    yield packed(cells)
+                    cells, n = [], 0
+        if cells:
+            yield packed(cells)
+
+    return run
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _prints, sorted by part, to the codes (part and print) that come more than once."""
+    part, own = None, []
+
+    def flush() -> pa.RecordBatch:
+        x = np.sort(np.concatenate(own))
+        again = np.unique(x[1:][x[1:] == x[:-1]]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(again | (part << 32))], names=["code"])
+
+    for batch in batches:
+        for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if p != part and own:
+                yield flush()
+                own = []
+            part = p
+            own.append(np.frombuffer(x.as_buffer(), np.uint32))
+    if own:
+        yield flush()
+
+
+def _windows(width: int, low: int, weights, bits: int, wanted):
+    """Texts to rows (cell, cls) of those cells whose code passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, done, on = weights.value, set(), np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             cells, owners, sizes = [], [], []
-            for s in shingle_sets(batch.column(0), width):
-                n = len(s)
-                keep = n - -(-low * n // 100) + 1
-                if not n or (n + 1) * low > 100 * n:  # no other set is within the threshold
-                    continue
-                c = _class(s)
-                if c in done:
-                    continue
-                if len(done) >= SEEN:
-                    done.clear()
-                done.add(c)
-                if keep < n:
-                    s = s[np.argsort(weight[((s >> U(20)) & U(BUCKETS - 1)).astype(np.int64)], kind="stable")[:keep]]  # s is sorted, so ties go by the whole hash
+            for c, s in _set_windows(batch.column(0), width, low, weight, done):
+                at = (mix(s >> U(32 - bits)) & U(CELL_BITS - 1)).astype(np.int64)
+                s = s[(on[at >> 3] >> (at & 7) & 1).astype(bool)]
                 cells.append(s)
                 owners.append(c)
                 sizes.append(len(s))
@@ -122,6 +175,35 @@ def _windows(width: int, low: int, weights):
     return run
 
 
+def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes to rows (k, bits): the parts that aren't empty of a filter of CELL_BITS."""
+    on = np.zeros(CELL_BITS // 8, np.uint8)
+    for batch in batches:
+        at = (mix(batch.column(0).to_numpy().view(U)) & U(CELL_BITS - 1)).astype(np.int64)
+        np.bitwise_or.at(on, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    parts = on.reshape(-1, 4096)
+    k = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([parts[i].tobytes() for i in k], pa.binary())], names=["k", "bits"])
+
+
+def shared_cells(scratch: Scratch, texts: DataFrame, own: DataFrame, width: int, low: int, weights) -> tuple[int, bytes]:
+    """A filter of a fixed size of cells that come more than once, and the bits of a cell's code beyond 32.
+
+    Only four bytes of each cell are shuffled, by its first bits, for most cells have one set. Two cells of one code pass
+    both, as do those of a set that several tasks have; either costs rows, not links.
+    """
+    n = own.select(F.sum(F.expr(f"n - ceil({low} * n / 100) + 1"))).first()[0] or 0
+    bits = min(20, max(6, (int(n) >> 18).bit_length()))
+    prints = texts.transform(in_slices, _prints(width, low, weights, bits), "part int, prints binary")
+    codes = scratch.save(prints.repartition("part").sortWithinPartitions("part").transform(in_slices, _twice, "code long"), "codes")
+    out = bytearray(CELL_BITS // 8)
+    for r in codes.transform(in_slices, _filter, "k long, bits binary").groupBy("k").agg(F.expr("collect_set(bits)").alias("bits")).toLocalIterator():
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in r.bits])
+        out[r.k * 4096 : (r.k + 1) * 4096] = whole.tobytes()
+    scratch.drop("codes")
+    return bits, bytes(out)
+
+
 def _near(n: np.ndarray, sk: np.ndarray, i: int, js: np.ndarray, low: int) -> np.ndarray:
     """Which of js can be within the threshold of i: by size, and by L1 distance of the bins, which the symmetric difference isn't under."""
     a, b = n[i], n[js]
@@ -219,18 +301,6 @@ def _couples(low: int):
     return run
 
 
-def _among(bits):
-    """Rows (cell, cls) whose cell passes a filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            p = batch.column(0).to_numpy() & (CELL_BITS - 1)
-            yield batch.filter(pa.array((on[p >> 3] >> (p & 7) & 1).astype(bool)))
-
-    return run
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Elements of both of two sorted sets."""
     if len(x) > len(y):
@@ -337,7 +407,7 @@ def _sets(width: int, wanted):
 
 
 def _bits(rows: DataFrame, at, size: int) -> bytes:
-    """A filter of a fixed size (1 or 4 MB) with the bits at: for scans that would otherwise shuffle what they read."""
+    """A filter of a fixed size (1 MB) with the bits at: for scans that would otherwise shuffle what they read."""
     rows = rows.select((at + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
     out = bytearray(size // 8)
     for r in rows.collect():
@@ -367,15 +437,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     classes = own.where("n > 0 and doc_id is not null").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc"), F.min("sketch").alias("sketch"))
     classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    # A task knows its own sets only: a set with copies in several tasks comes once from each. Most regions have one
-    # set, so these go first, by their least and greatest set alone; the others' sets are then made distinct, as an even
-    # number of one would cancel in x.
-    cells = scratch.save(docs.where("text is not null and doc_id is not null").select("text").transform(in_slices, _windows(width, low, weights), "cell long, cls long"), "cells")
-    shared = scratch.save(cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("cell"), "shared")
-    bits = spark.sparkContext.broadcast(_bits(shared, F.col("cell").bitwiseAND(CELL_BITS - 1), CELL_BITS))
-    cells = scratch.save(cells.transform(in_slices, _among(bits), "cell long, cls long").join(shared, "cell", "left_semi").dropDuplicates(["cell", "cls"]), "members")
-    scratch.drop("cells")
-    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    # A task knows its own sets only: a set with copies in several tasks comes once from each. The sets of a region are
+    # made distinct, as an even number of one would cancel in x.
+    texts = docs.where("text is not null and doc_id is not null").select("text")
+    bits, passing = shared_cells(scratch, texts, own, width, low, weights)
+    cells = texts.transform(in_slices, _windows(width, low, weights, bits, spark.sparkContext.broadcast(passing)), "cell long, cls long")
+    cells = scratch.save(cells.dropDuplicates(["cell", "cls"]), "members")
+    met = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("m > 1")
     # regions with the same sets count once; those of two sets are known by their least and greatest
     kept = scratch.save(met.groupBy("m", "x", "lo", "hi").agg(F.min("cell").alias("cell")), "kept")
     one, two = (classes.select(F.col("cls").alias(c), F.col("id").alias(f"i_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("lo", "hi"))
@@ -389,7 +457,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     members = members.select(F.explode(pair).alias("region"), "id", "n", "sketch")
     edges = members.repartition("region").sortWithinPartitions("region", "id").transform(in_slices, _regions(low), "a long, b long")
     pairs = scratch.save(couples.unionByName(edges).distinct(), "pairs")
-    scratch.drop("members", "shared", "kept")
+    scratch.drop("members", "kept")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = scratch.save(classes.join(ids, "id").select("id", "doc", "n", "cls", "cls2"), "ids")

@@ -16,6 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's letters, times the odds, in its language; and least quality score.
 LANGUAGE, QUALITY = 0.25, 0.3
 
+#: Ids of copies that are sent to all tasks at most, some 100 MB.
+FEW_COPIES = 1 << 22
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language: those without a letter or a text go, and those no language fits."""
@@ -45,8 +48,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are in no group and stay. Rows that repeat a doc_id are one document; rows without one go.
     """
     docs = single(docs)
+    scratch = Scratch(spark, "distinct")
     found = jaccard_join.jaccard_components(spark, docs, width=5, low=80)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    copies = scratch.save(found.where("doc_id <> component_id").select("doc_id"), "copies")
+    if copies.count() <= FEW_COPIES:  # else texts are shuffled
+        copies = F.broadcast(copies)
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import zip_longest
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,23 +15,46 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as T
 from kelpie.functions.tables import tables
+from kelpie.shared import spread
 
+#: Fixed values of HTML: elements without content; those that stand on lines of their own; those that end an open p.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+ENDS_P = set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+#: Elements whose end tag may be left out. By the tag that begins: those it ends, unless one of the last lies between.
+CELLS, ROWS = ("td", "th"), ("tr", "td", "th")
+PARTS = (*ROWS, "thead", "tbody", "tfoot", "caption", "colgroup")
+ENDS = {
+    **dict.fromkeys(ENDS_P, (("p",), "scope")),
+    "li": (("li", "p"), "list"), "dt": (("dt", "dd", "p"), "list"), "dd": (("dt", "dd", "p"), "list"),
+    **dict.fromkeys(CELLS, (CELLS, "row")), "tr": (ROWS, "table"), **dict.fromkeys(("thead", "tbody", "tfoot"), (PARTS, "table")),
+    "option": (("option",), "select"), "optgroup": (("option", "optgroup"), "select"),
+}
+#: What keeps a tag from ending elements outside, by kind.
+BORDERS = {
+    "scope": {"table", "td", "th", "caption", "button", "object", "template"},
+    "list": {"ul", "ol", "menu", "dl", "table", "td", "th", "caption", "button", "object", "template", "section", "article", "aside", "nav", "main", "form", "header", "footer"},
+    "row": {"tr", "table"}, "table": {"table"}, "select": {"select"}, "inline": BLOCK | {"td", "th"},
+}
+KINDS = {t: tuple(k for k, tags in BORDERS.items() if t in tags) for tags in BORDERS.values() for t in tags}
 
 
 class Node:
-    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+    """An element; its descendants are those numbered from at + 1 to last."""
+
+    __slots__ = ("tag", "attrs", "children", "classes", "at", "last", "named")
+
+    def __init__(self, tag: str, attrs: dict[str, str | None], at: int, named: dict) -> None:
+        self.tag, self.attrs, self.children, self.at, self.last, self.named = tag, attrs, [], at, at, named
         self.classes = set((attrs.get("class") or "").split())
 
-    def find(self, tag: str = "", cls: str = "", id_: str = ""):
+    def find(self, tag: str = "", cls: str = "", id_: str = "") -> Iterator[Node]:
         """Descendants in page order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                if (not tag or c.tag == tag) and (not cls or cls in c.classes) and (not id_ or c.attrs.get("id") == id_):
-                    yield c
-                yield from c.find(tag, cls, id_)
+        own = self.named.get(("id", id_) if id_ else ("class", cls) if cls else ("tag", tag), ())
+        for k in range(bisect_right(own, self.at, key=_AT), bisect_right(own, self.last, key=_AT)):
+            c = own[k]
+            if (not tag or c.tag == tag) and (not cls or cls in c.classes) and (not id_ or c.attrs.get("id") == id_):
+                yield c
 
     def first(self, **what) -> Node | None:
         return next(self.find(**what), None)
@@ -35,53 +62,94 @@ class Node:
     def text(self, lines: bool = True) -> str:
         """Text as shown: white space folded, block elements on lines of their own, cells behind tabs; else all text as it is."""
         out: list[str] = []
-
-        def walk(n: Node) -> None:
-            for c in n.children:
-                if isinstance(c, str):
-                    out.append(" ".join(c.split()).join((" " * c[:1].isspace(), " " * c[-1:].isspace())) if lines and c.strip() else " " if lines else c)
-                elif c.tag not in ("script", "style"):
-                    edge = "\n" if lines and c.tag in BLOCK else ""
-                    out.append(edge)
-                    walk(c)
-                    out.append(edge or ("\t" if lines and c.tag in ("td", "th") else ""))
-
-        walk(self)
+        todo: list[Node | tuple[str, str]] = [("", x) if isinstance(x, str) else x for x in reversed(self.children)]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, tuple):
+                edge, t = c
+                out.append(edge or (" ".join(t.split()).join((" " * t[:1].isspace(), " " * t[-1:].isspace())) if lines and t.strip() else " " if lines else t))
+            elif c.tag not in ("script", "style"):
+                edge = "\n" if lines and c.tag in BLOCK else ""
+                out.append(edge)
+                if after := edge or ("\t" if lines and c.tag in CELLS else ""):
+                    todo.append((after, ""))
+                todo += [("", x) if isinstance(x, str) else x for x in reversed(c.children)]
         if not lines:
             return "".join(out)
         rows = ("\t".join(" ".join(x.split()) for x in r.rstrip("\t ").split("\t")) for r in "".join(out).split("\n"))
         return "\n".join(r for r in rows if r.strip())
 
 
+_AT = attrgetter("at")
+
+
 class _Tree(HTMLParser):
+    """Builds the tree in time that grows with the page: for each tag and each kind of border it knows where on the stack it is open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
+        self.named: dict[tuple[str, str], list[Node]] = defaultdict(list)
+        self.count = 0
+        self.root = Node("", {}, 0, self.named)
         self.stack = [self.root]
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.borders: dict[str, list[int]] = {k: [0] for k in BORDERS}
+
+    def _cut(self, k: int) -> None:
+        """Closes all from place k of the stack."""
+        while len(self.stack) > k:
+            n = self.stack.pop()
+            n.last = self.count
+            self.open[n.tag].pop()
+            for kind in KINDS.get(n.tag, ()):
+                self.borders[kind].pop()
+
+    def _add(self, tag: str, attrs: list) -> Node:
+        for tags, kind in (ENDS[tag],) if tag in ENDS else ():
+            border = self.borders[kind][-1]
+            # of those open within the border, the outermost
+            places = [own[k] for t in tags if (own := self.open.get(t)) and (k := bisect_right(own, border)) < len(own)]
+            if places:
+                self._cut(min(places))
+        self.count += 1
+        n = Node(tag, dict(attrs), self.count, self.named)
+        self.stack[-1].children.append(n)
+        self.named["tag", tag].append(n)
+        for c in n.classes:
+            self.named["class", c].append(n)
+        if n.attrs.get("id"):
+            self.named["id", n.attrs["id"]].append(n)
+        return n
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        n = Node(tag, dict(attrs))
-        self.stack[-1].children.append(n)
+        n = self._add(tag, attrs)
         if tag not in VOID:
+            for kind in KINDS.get(tag, ()):
+                self.borders[kind].append(len(self.stack))
+            self.open[tag].append(len(self.stack))
             self.stack.append(n)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.stack[-1].children.append(Node(tag, dict(attrs)))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
+        own = self.open.get(tag)
+        if own:
+            kind = "table" if tag in PARTS else "inline" if tag not in BLOCK and tag not in KINDS else "" if tag in BORDERS["scope"] else "scope"
+            if not kind or own[-1] > self.borders[kind][-1]:
+                self._cut(own[-1])
 
     def handle_data(self, data: str) -> None:
         self.stack[-1].children.append(data)
 
 
 def tree(page: str | None) -> Node:
+    """The elements of a page. End tags that HTML lets authors leave out are taken as read."""
     t = _Tree()
     t.feed(page or "")
     t.close()
+    t._cut(1)
+    t.root.last = t.count
     return t.root
 
 
@@ -150,6 +218,7 @@ def heading(root: Node) -> str | None:
     return _inner(root.first(tag="h1")) or None
 
 
+#: Fixed values above: the class names and ids of the shop's pages.
 READERS = {f.__name__: f for f in (catalog_links, specs, variants, description, faq, policy, links, heading)}
 _ENTRY = "array<struct<key:string,value:string>>"
 TYPES = {"catalog_links": "array<struct<href:string,name:string>>", "specs": _ENTRY, "variants": "array<struct<color:string,price:string,stock:string>>", "description": "string", "faq": _ENTRY, "policy": "array<struct<title:string,content:string>>", "links": "array<string>", "heading": "string"}
@@ -178,6 +247,7 @@ def enriched(products: DataFrame, pages: DataFrame) -> DataFrame:
 
     A product stays if it has specifications and variants, and not all variants lack a price and stock.
     """
+    pages = spread(pages.select("url", "html"))
     p = products.join(pages.select("url", parsed(F.col("html"), "specs", "variants", "description", "heading").alias("x")), "url", "left")
     name = F.coalesce(T.blank_to_null(F.col("name")), T.blank_to_null(F.col("x.heading")), F.col("id"))
     p = p.select("ord", "id", name.alias("name"), "url", F.map_from_entries("x.specs").alias("specs"), F.col("x.variants").alias("variants"), F.col("x.description").alias("description"))

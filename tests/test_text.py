@@ -98,3 +98,39 @@ def test_files(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "b.json"), "id string", tolerant=True).count() == 0
     assert files.read_index(spark, str(tmp_path / "no")) is None
     assert {r.collection: r.n for r in files.counts(spark, str(tmp_path / "no")).collect()} == {"policy_collection": 0, "product_collection": 0}
+
+
+def test_optional_end_tags():
+    page = '<section class="technical-content-section"><p class="title">T<table class="technical-content"><tr class="technical-content-item"><td>A<td>1<tr class="technical-content-item"><td>B<td>2</table></section>'
+    assert html.specs(html.tree(page)) == [{"key": "A", "value": "1"}, {"key": "B", "value": "2"}]
+    text = lambda p: html.tree(p).text()
+    assert text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><dl><dt>q<dd>r<dt>s</dl><p>x<div>y</div>z") == "a\nb\nc\nd\nq\nr\ns\nx\ny\nz"
+    assert text("<table><tr><td>a<td>b<tr><td>c<table><tr><td>in</table>after<td>d</table>tail") == "a\tb\nc\nin\nafter\td\ntail"
+    items = list(html.tree("<ul><li>a<p>b<li>c<ul><li>d</ul></ul><li>e").find(tag="li"))
+    assert [i.text() for i in items] == ["a\nb", "c\nd", "d", "e"]
+    rows = list(html.tree("<table><thead><tr><th>h<tbody><tr><td>1<tr><td>2<tfoot><tr><td>3</table>").find(tag="tr"))
+    assert [r.text() for r in rows] == ["h", "1", "2", "3"]
+    assert [o.text() for o in html.tree("<select><option>a<option>b<optgroup><option>c</select>d").find(tag="option")] == ["a", "b", "c"]
+    assert html.tree("<td>x</div>y</td></table></p>z").text() == "xy\tz"
+    assert [p.text() for p in html.tree("<p>a<p>b<button><p>c</button>d</p>e").find(tag="p")] == ["a", "b\nc\nd", "c"]
+
+
+def test_finding_is_by_place():
+    root = html.tree('<div class="a b" id="i"><p class="a">x</p><div class="b">y<p class="a c">z</p></div></div><p class="a">w')
+    assert [n.text() for n in root.find(cls="a")] == ["x\ny\nz", "x", "z", "w"]
+    assert [n.text() for n in root.first(id_="i").find(tag="p")] == ["x", "z"]
+    assert [n.text() for n in root.first(cls="b").find(cls="b")] == ["y\nz"] and root.first(tag="p", cls="c").text() == "z"
+    assert root.first(tag="q") is None and html.tree(None).text() == "" and list(html.tree("").find(tag="a")) == []
+
+
+def test_deep_pages():
+    """Elements without end tags, and 100,000 nested ones, take time in proportion; no reader recurses."""
+    import time
+
+    for page in ("<p>a" * 1200, "<li>x" * 1200, "<tr><td>a<td>b" * 600, "<div>" * 100_000 + "x", "<ul><li>" * 30_000 + "z", "<b><i>t" * 30_000):
+        began = time.process_time()
+        root = html.tree(page)
+        for name, read in html.READERS.items():
+            read(root), name
+        assert len(root.text().replace("\n", "").replace("\t", "")) == len("".join(c for c in page.replace("<", " <").replace(">", "> ").split() if not c.startswith("<") for c in c))
+        assert time.process_time() - began < 8

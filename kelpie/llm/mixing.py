@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset sums over the histogram of document sizes.
 
 A source takes all its documents as many whole times as its target allows; what is left of the target is a subset sum
-over its sizes. Each size first gives its proportional share of all but REST words; a bounded knapsack (a bit set of
-reachable sums, one layer for each size) fills the rest as closely as any choice can. All this sees only counts by
+over its sizes. Each size first gives its proportional share of all but some words; a bounded knapsack (a bit set of
+reachable sums, one layer for each size) fills the rest as closely as any choice can, and gets more words where that
+isn't close enough. All this sees only counts by
 source and exact size. Which documents of a size are taken is decided by a seeded hash, with counts of hash buckets, so that no size,
 however frequent, is ranked in one task.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import Scratch, prepare
 
 WORDS = r"[^\x20\x09-\x0D]++"
-#: Words left over at most for the exact knapsack, and documents in a hash bucket.
-REST, BUCKET = 1 << 13, 1024
+#: Words left over at first for the exact knapsack, bits of all its sets at most (64 MB), and documents in a hash bucket.
+REST, BITS, BUCKET = 1 << 13, 1 << 29, 1024
 
 
 def shares(totals: list[tuple[str | None, int]], most: int = 3) -> dict[str | None, float]:
@@ -43,17 +44,36 @@ def _order(seed: int, size: int) -> bytes:
 
 
 def subset(counts: dict[int, int], want: int, seed: int) -> dict[int, int]:
-    """How many documents of each size to take, for a sum as near to want as any; over REST, as any that completes a proportional part."""
+    """How many documents of each size to take, for a sum as near to want as any of those that complete a proportional part.
+
+    The knapsack has REST words at first, and twice as many as long as no choice meets the target and its bit sets stay
+    under BITS; where it has the whole target, no sum is nearer.
+    """
     total = sum(k * n for k, n in counts.items())
     if want <= 0 or not total:
         return {}
     if want >= total:
         return dict(counts)
-    took = {k: n * max(want - REST, 0) // total for k, n in counts.items()}
-    left = want - sum(k * n for k, n in took.items())
     sizes = sorted(counts, key=lambda k: _order(seed, k))
+    layers = sum(n.bit_length() for n in counts.values())
+    rest, best, off = REST, {}, want + 1
+    while off and (rest == REST or rest * layers <= BITS):
+        took = _completed(counts, sizes, want, total, rest)
+        missed = abs(want - sum(k * n for k, n in took.items()))
+        if missed < off:
+            best, off = took, missed
+        if rest >= want:
+            break
+        rest *= 2
+    return best
+
+
+def _completed(counts: dict[int, int], sizes: list[int], want: int, total: int, rest: int) -> dict[int, int]:
+    """A proportional part of all but `rest` words of want, and the best subset for what is left."""
+    took = {k: n * max(want - rest, 0) // total for k, n in counts.items()}
+    left = want - sum(k * n for k, n in took.items())
     for k in sizes:
-        if left <= REST:
+        if left <= rest:
             break
         n = min(counts[k] - took[k], left // k)
         took[k] += n
@@ -69,11 +89,9 @@ def subset(counts: dict[int, int], want: int, seed: int) -> dict[int, int]:
             n, step = n - m, 2 * step
         if reach >> left & 1:
             break
-    low, high = left, left
-    while not reach >> low & 1:
-        low -= 1
-    while high <= room and not reach >> high & 1:
-        high += 1
+    low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = reach >> left
+    high = left + (over & -over).bit_length() - 1 if over else room + 1
     at = high if high <= room and high - left < left - low else low
     for k, m, before in reversed(layers):
         if not before >> at & 1:
@@ -97,20 +115,19 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken) for docs (doc_id, text, source), one for each row.
 
     size: words of the whole text, 0 for null. taken: size times the repeats, of which there are at most 3. Rows that
-    repeat a doc_id are documents of their own; a null source is a source. Other columns are ignored. The driver gets
+    repeat a doc_id are documents of their own, spread by their texts; a null source is a source. Other columns are ignored. The driver gets
     one row for each source.
     """
     prepare(spark)
     scratch = Scratch(spark, "mix")
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
-    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")), "sized")
+    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), "text").alias("h")), "sized")
     hist = sized.groupBy("key", "size").agg(F.count("*").alias("n"))
     totals = hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()
     named = {(r.key[1:] if r.key else None): r.n for r in totals}
     targets = {("" if s is None else "=" + s): t for s, t in shares(list(named.items())).items()} if totals else {}
     plan = scratch.save(hist.groupBy("key").applyInPandas(_planned(targets, seed), "key string, size long, n long, source_size long, target double, whole long, x long"), "plan")
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.join(plan, ["key", "size"]).withColumn("h", h).withColumn("b", F.pmod("h", F.ceil(F.col("n") / BUCKET)))
+    rows = sized.join(plan, ["key", "size"]).withColumn("b", F.pmod("h", F.ceil(F.col("n") / BUCKET)))
     counts = rows.where("x > 0 and x < n").groupBy("key", "size", "b").agg(F.count("*").alias("m"), F.max("x").alias("x"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = counts.withColumn("share", F.greatest(F.lit(0), F.least(F.col("m"), F.col("x") - before))).select("key", "size", "b", "m", "share")

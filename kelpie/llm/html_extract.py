@@ -11,6 +11,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ CHOICE = {"option", "optgroup", "hr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 STOPS = set("ul ol dl table article section aside nav header footer main div body form".split())
 SOUND = set("a abbr b big button cite code em font i label mark q s small span strike strong sub sup time tt u".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -50,16 +53,72 @@ def _element(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     return tuple(sorted(out)), main
 
 
-def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
+class _Stack:
+    """Open elements, with what is asked about them all kept up to date: a question costs the same at any depth.
+
+    known: features that count, all if none are given.
+    """
+
+    def __init__(self, known=None) -> None:
+        self.known, self.elements, self.main = known, [], 0
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.stops: list[int] = []
+        self.live: dict[str, int] = {}
+
+    def push(self, tag: str, features: tuple[str, ...], main: bool) -> None:
+        k = len(self.elements)
+        self.elements.append((tag, features, main))
+        self.where[tag].append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in STOPS:
+            self.stops.append(k)
+        self.main += main
+        for f in features:
+            if self.known is None or f in self.known:
+                self.live[f] = self.live.get(f, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k."""
+        while len(self.elements) > k:
+            tag, features, main = self.elements.pop()
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in STOPS:
+                self.stops.pop()
+            self.main -= main
+            for f in features:
+                n = self.live.get(f, 0)
+                if n > 1:
+                    self.live[f] = n - 1
+                elif n:
+                    del self.live[f]
+
+    def last(self, tag: str) -> int:
+        own = self.where.get(tag)
+        return own[-1] if own else -1
+
+    def any(self, tags) -> bool:
+        return any(self.where.get(t) for t in tags)
+
+    def within(self, tags, border: int) -> int | None:
+        """The outermost place of tags beyond a border."""
+        return min((own[k] for t in tags if (own := self.where.get(t)) and (k := bisect_right(own, border)) < len(own)), default=None)
+
+
+def blocks(page: str | None, known=None) -> list[tuple[str, list[str], bool]]:
     """Leaf blocks in page order: text, features, and whether a labelled page marks it as main.
 
     Text that is part of no block: that of RAW elements, up to their end tag or, without one, to the page's end, as
     browsers read them; that of HIDDEN elements, which end with the element around them at the latest, lists of choices
     also where another block begins; comments; and attributes. All other text is, that of media, formulas, drawings and
-    unknown elements too.
+    unknown elements too. known: the features of elements that are listed, all if none are given; their number bounds
+    what a block costs, however deep it lies.
     """
     page = page or ""
-    stack: list[list] = []  # tag, features, main
+    stack = _Stack(known)
     out, text, linked, at, n, off = [], [], [0], 0, len(page), False
     cached: dict[tuple[str, str], tuple] = {}
 
@@ -67,26 +126,26 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
         if text:
             t = " ".join("".join(text).split())
             if t:
-                own = {f for e in stack for f in e[1]}
+                own = set(stack.live)
                 k = len(t.split())
                 own.add(f"words:{min(k.bit_length(), 7)}")
-                own.add(f"parent:{next((e[0] for e in reversed(stack) if e[0] in BLOCK), '')}")
+                own.add(f"parent:{stack.elements[stack.blocks[-1]][0] if stack.blocks else ''}")
                 share = linked[0] / len(t)
                 own.add("links:all" if share > 0.7 else "links:some" if share > 0.2 else "links:few" if share else "links:none")
                 own.add("ends" if t[-1] in ".!?…:;\"'”»" else "open")
                 if "©" in t:
                     own.add("copyright")
-                out.append((t, sorted(own), not off and any(e[2] for e in stack)))
+                out.append((t, sorted(own), not off and stack.main > 0))
             text.clear()
             linked[0] = 0
 
     def add(raw: str) -> None:
-        if any(e[0] in HIDDEN for e in stack):
+        if stack.any(HIDDEN):
             return
         if "&" in raw:
             raw = html.unescape(raw)
         text.append(raw)
-        if any(e[0] == "a" for e in stack[-4:]):
+        if stack.last("a") >= max(len(stack.elements) - 4, 0):
             linked[0] += len(raw.strip())
 
     while at < n:
@@ -104,38 +163,32 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
                 off = m[1] == "off"
             continue
         tag = tag.lower()
+        inner = stack.blocks[-1] if stack.blocks else -1
         if m[2]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush() if any(e[0] in BLOCK for e in stack[k:]) else None
-                    del stack[k:]
-                    break
-                if tag in SOUND and stack[k][0] in BLOCK:
-                    break
+            k = stack.last(tag)
+            if k >= 0 and not (tag in SOUND and inner > k):
+                if inner >= k:
+                    flush()
+                stack.cut(k)
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            choices = next((k for k, e in enumerate(stack) if e[0] in ("select", "datalist")), None)
+            choices = stack.within(("select", "datalist"), -1)
             if choices is not None and tag not in CHOICE:
-                del stack[choices:]
+                stack.cut(choices)
                 choices = None
-            p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None) if choices is None else None
-            if p is not None:
-                del stack[p:]
-            for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in STOPS:
-                    break
-            if tag[0] == "h" and stack and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
-        foreign = tag in ("svg", "math") or any(e[0] in ("svg", "math") for e in stack)
+            if choices is None and (p := stack.last("p")) >= 0:
+                stack.cut(p)
+            if tag in CLOSES and (k := stack.within(CLOSES[tag], stack.stops[-1] if stack.stops else -1)) is not None:
+                stack.cut(k)
+            if tag in HEADINGS and stack.elements and stack.elements[-1][0] in HEADINGS:
+                stack.cut(len(stack.elements) - 1)
+        foreign = tag in ("svg", "math") or stack.any(("svg", "math"))
         if tag in VOID or tag == "head" or foreign and m[4].endswith("/"):  # what a head may hold shows no text
             continue
         if tag in RAW:
@@ -145,7 +198,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str], bool]]:
         key = (tag, m[4])
         if key not in cached:
             cached[key] = _element(tag, m[4])
-        stack.append([tag, *cached[key]])
+        stack.push(tag, *cached[key])
     flush()
     return out
 
@@ -219,7 +272,7 @@ class Field:
         return out[::-1]
 
     def text(self, page: str | None) -> str:
-        b = blocks(page)
+        b = blocks(page, self.w)
         return "\n".join(x[0] for x, on in zip(b, self.labels(b), strict=True) if on) if b else ""
 
 

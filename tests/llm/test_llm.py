@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -588,3 +589,46 @@ def test_pipeline_without_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nesting_costs_nothing():
+    """Blocks deep inside have the features of all that is open, found in time that grows with the page."""
+    rng = random.Random(6)
+    tags = ["div", "p", "li", "ul", "b", "a", "td", "tr", "table", "h2", "select", "option", "svg", "span"]
+    for _ in range(300):
+        page = "".join(rng.choice([f'<{t} class="c{rng.randrange(5)}">', f"</{t}>", "t "]) for t in rng.choices(tags, k=60))
+        every, some = html_extract.blocks(page), html_extract.blocks(page, {"is:c", "in:div"})
+        assert [b[0] for b in every] == [b[0] for b in some] and all(set(s[1]) <= set(e[1]) for e, s in zip(every, some, strict=True))
+        assert all({f for f in e[1] if f in ("is:c", "in:div")} == {f for f in s[1] if f in ("is:c", "in:div")} for e, s in zip(every, some, strict=True))
+    field = html_extract.train()
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "x", "<b><i>t" * 50_000, "".join(f'<div class="a{i}x">t' for i in range(20_000)), "<tr><td>x" * 50_000):
+        assert field.text(page) is not None
+    assert time.process_time() - began < 40
+
+
+def test_large_subsets_are_near():
+    """Targets over REST against all sums, by a set of bits; the worst miss of these is a few words."""
+    rng = random.Random(3)
+    worst = 0
+    for _ in range(60):
+        counts = {rng.randint(1, 20_000): rng.randint(1, 200) for _ in range(rng.randint(3, 60))}
+        total = sum(k * n for k, n in counts.items())
+        want, reach = rng.randint(total // 20, total * 4 // 5), 1
+        for k, n in counts.items():
+            step = 1
+            while n > 0:
+                reach |= reach << (k * min(step, n))
+                n, step = n - step, 2 * step
+        near = min(want - ((reach & ((1 << want + 1) - 1)).bit_length() - 1), ((reach >> want) & -(reach >> want)).bit_length() - 1)
+        got = mixing.subset(counts, want, 1)
+        assert all(0 <= n <= counts[k] for k, n in got.items())
+        worst = max(worst, abs(want - sum(k * n for k, n in got.items())) - near)
+    assert worst <= 8
+
+
+def test_mixing_spreads_rows_without_id(spark):
+    """Rows without a doc_id and of one size go to many buckets by their texts."""
+    df = spark.range(6000).selectExpr("cast(null as long) as doc_id", "concat('w', id, ' x') as text", "if(id < 5000, 'a', 'b') as source")
+    got = mixing.mix(spark, df).collect()
+    assert len(got) == 6000 and abs(sum(r.taken for r in got) - 12_000) <= 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kelpie import providers
 from kelpie.functions import chunking
 from kelpie.functions import text as T
-from kelpie.operators import evaluate, fusion, lexical, rerank, routing, vector
+from kelpie.operators import evaluate, fusion, lexical, rerank, routing, segmentation, spelling, vector
 from kelpie.operators.search import hybrid
 from kelpie.shared import find_package
 from kelpie.sources import html
@@ -76,6 +76,43 @@ def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.sizes(_documents(_Tables(spark, sf_dir)), F.col("lang")).withColumn("avgdl", F.round("avgdl", 6))
 
 
+_LEXICON = f"""with docs as (select {TOKENS.format('text')} as w from documents),
+runs as (select word, n, count(*) as count from (select unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: {{'word': array_to_string(w[i:i + n - 1], ' '), 'n': n}}))), recursive := true) from docs) group by word, n),
+singles as (select * from runs where n = 1), total as (select sum(count) as total from singles),
+parts as (select word, n, count, unnest(string_split(word, ' ')) as part from runs where n > 1 and count >= 5),
+each as (select p.word, p.n, p.count, sum(ln(s.count)) as each from parts p join singles s on p.part = s.word group by all)
+select word, n, count, score from (select word, n, count, round((ln(count) + (n - 1) * ln(total) - each) / ((n - 1) * (ln(total) - ln(count))), 6) as score from each, total) where score >= 0.3"""
+
+
+@query(_LEXICON)
+def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two and three syllables of all documents."""
+    found = segmentation.lexicon(_documents(_Tables(spark, sf_dir)), score=0.2999995, longest=3).where("n > 1")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def bm25_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over words of several syllables, learned from the documents; tested against brute force."""
+    t = _Tables(spark, sf_dir)
+    words = segmentation.tokenizer(segmentation.lexicon(_documents(t), longest=3))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return lexical.bm25(q, _documents(t), 10, tokenizer=words).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+_TYPED = "lexicon as (select word, count(*) as freq from (select unnest(string_split(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9 ]', '', 'g'), ' ')) as word from part) group by word), typed as (select distinct typed as word from (select unnest([word[1] || word[3:], word[1] || word[3] || word[2] || word[4:], word || word[-1], 'x' || word[2:]]) as typed from lexicon) where typed not in (select word from lexicon))"
+
+
+@query(f"with {_TYPED}, near as (select t.word, l.word as candidate, freq, damerau_levenshtein(t.word, l.word) as d from typed t, lexicon l where damerau_levenshtein(t.word, l.word) <= 1 and length(t.word) >= 4) select word, arg_min(candidate, {{'d': d, 'f': -freq, 'c': candidate}}) as correction, cast(min(d) as double) as cost from near group by word")
+def spelling_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of parts with a letter left out, two swapped, one doubled or a wrong one."""
+    t = _Tables(spark, sf_dir)
+    lexicon = spelling.catalogue_words(t.part.select(F.regexp_replace(F.concat_ws(" ", "p_name", "p_type", "p_brand"), "[^A-Za-z0-9 ]", "").alias("text")))
+    w = F.col("word")
+    typed = F.array(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1000)), F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, 4, 1000)), F.concat(w, F.substring(w, -1, 1)), F.concat(F.lit("x"), F.substring(w, 2, 1000)))
+    return spelling.corrections(lexicon.select(F.explode(typed).alias("word")), lexicon)
+
+
 # ---- text
 
 @query(r"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as text from documents")

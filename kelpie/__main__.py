@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from kelpie import config, providers, schemas
 from kelpie.functions import chunking
 from kelpie.plans import chat, evaluation, retrieve, stages
-from kelpie.sources import files
+from kelpie.sources import files, shop
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> str:
@@ -19,11 +19,11 @@ def build(spark: SparkSession, args: argparse.Namespace) -> str:
 
     def products() -> None:
         made["products"] = chunking.product_chunks(files.read_json(spark, args.products, schemas.PRODUCT), files.read_json(spark, args.faqs, schemas.FAQ) if args.faqs else None)
-        files.write_json_array(made["products"], f"{args.out}/product_chunks", ["n"])
+        shop.write_json_array(made["products"], f"{args.out}/product_chunks", ["n"])
 
     def policies() -> None:
         made["policies"] = chunking.policy_chunks(files.read_json(spark, args.policies, schemas.POLICY))
-        files.write_json_array(made["policies"], f"{args.out}/policy_chunks", ["n"])
+        shop.write_json_array(made["policies"], f"{args.out}/policy_chunks", ["n"])
 
     def index() -> None:
         files.write_index(retrieve.build(made["products"], made["policies"]), f"{args.out}/index")

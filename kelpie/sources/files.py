@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
@@ -11,19 +10,25 @@ from pyspark.sql.utils import AnalysisException
 from kelpie.functions import text as T
 
 
+#: In a folder whose part files together are one JSON array.
+ARRAY = "_array"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
-    """Records of a JSON array or of JSON lines, with their order in ord; no rows where there is no file.
+    """Records of a JSON array, of an array in parts or of JSON lines, with their order in ord; no rows where there is no file.
 
     tolerant: a file that isn't a JSON array has no rows; otherwise it is an error.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("ord", F.lit(0).cast("long"))
-    if not tolerant:
+    if exists(spark, f"{path}/{ARRAY}"):
+        rows = read_json_array(spark, path, schema)
+    elif not tolerant:
         rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     else:
         whole = spark.read.option("wholetext", True).text(path)
@@ -41,21 +46,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One JSON array in one file of a folder, a record a line, in order; written by one task that holds one batch of records."""
-
-    def lines(batches):
-        first = True
-        for batch in batches:
-            rows = batch.column(0).to_pylist()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + r for i, r in enumerate(rows)])], names=["value"])
-                first = False
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
-
-    own = F.to_json(F.struct(*(c for c in df.columns if c not in ("ord",))), {"ignoreNullFields": "false"}).alias("value")
-    rows = (df.orderBy(*order) if order else df).select(own).coalesce(1)
-    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of an array that many tasks have written (shop.py), by lines, so that many tasks read a large one."""
+    lines = spark.read.text(path, pathGlobFilter="part-*-1.json").select(F.regexp_replace("value", "^,", "").alias("value")).where("value <> ''")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def matching(wanted: dict) -> Column:

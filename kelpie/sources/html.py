@@ -28,7 +28,7 @@ ENDS = {
     **dict.fromkeys(ENDS_P, (("p",), "scope")),
     "li": (("li", "p"), "list"), "dt": (("dt", "dd", "p"), "list"), "dd": (("dt", "dd", "p"), "list"),
     **dict.fromkeys(CELLS, (CELLS, "row")), "tr": (ROWS, "table"), **dict.fromkeys(("thead", "tbody", "tfoot"), (PARTS, "table")),
-    "option": (("option",), "select"), "optgroup": (("option", "optgroup"), "select"),
+    "a": (("a",), "scope"), "option": (("option",), "select"), "optgroup": (("option", "optgroup"), "select"),
 }
 #: What keeps a tag from ending elements outside, by kind.
 BORDERS = {
@@ -135,7 +135,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         own = self.open.get(tag)
         if own:
-            kind = "table" if tag in PARTS else "inline" if tag not in BLOCK and tag not in KINDS else "" if tag in BORDERS["scope"] else "scope"
+            kind = "table" if tag in PARTS else "inline" if tag != "a" and tag not in BLOCK and tag not in KINDS else "" if tag in BORDERS["scope"] else "scope"
             if not kind or own[-1] > self.borders[kind][-1]:
                 self._cut(own[-1])
 

@@ -1,6 +1,7 @@
 """Settings, services, retries, pages of the web, evaluation and commands, all offline."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from kelpie import config, providers
 from kelpie.functions import chunking
 from kelpie.operators import lexical, search
 from kelpie.plans import chat, evaluation, retrieve, stages
-from kelpie.sources import files, html, web
+from kelpie.sources import files, html, shop, web
 from kelpie.streaming import answers
 
 PRODUCTS = [{"id": f"p-{i}", "name": f"Fon {i} 128GB", "url": f"https://x.vn/p-{i}.html", "specs": {"Chipset": f"A{i}"}, "variants": [{"color": "Đỏ", "price": f"{i}₫", "stock": "Còn hàng"}], "description": f"Máy Fon {i} rất tốt."} for i in range(10, 14)]
@@ -145,16 +146,13 @@ def test_commands(spark, index_path):
 
 
 def test_json_array(spark, index_path, tmp_path):
-    import glob
-
-    with open(glob.glob(f"{index_path}/product_chunks/part-*")[0], encoding="utf-8") as f:
-        chunks = json.load(f)
+    whole = lambda path: json.loads("".join(p.read_text(encoding="utf-8") for p in sorted(Path(path).glob("part-*"))))
+    chunks = whole(f"{index_path}/product_chunks")
     assert [c["chunk_id"] for c in chunks] == [f"chunk_{i:04d}" for i in range(1, 13)]
     again = files.read_json(spark, f"{index_path}/product_chunks", "chunk_id string, product_id string, text string")
     assert again.count() == 12
-    files.write_json_array(spark.createDataFrame([], "a int"), f"{tmp_path}/none")
-    with open(glob.glob(f"{tmp_path}/none/part-*")[0]) as f:
-        assert json.load(f) == []
+    shop.write_json_array(spark.createDataFrame([], "a int"), f"{tmp_path}/none")
+    assert whole(f"{tmp_path}/none") == []
 
 
 def test_metadata(spark, index_path):

@@ -111,6 +111,7 @@ def test_optional_end_tags():
     rows = list(html.tree("<table><thead><tr><th>h<tbody><tr><td>1<tr><td>2<tfoot><tr><td>3</table>").find(tag="tr"))
     assert [r.text() for r in rows] == ["h", "1", "2", "3"]
     assert [o.text() for o in html.tree("<select><option>a<option>b<optgroup><option>c</select>d").find(tag="option")] == ["a", "b", "c"]
+    assert [a.text() for a in html.tree("<a>x<p>y</a>z<a>v<a>w</a><div><a>u</div>t").find(tag="a")] == ["x\ny", "v", "w", "u"]
     assert html.tree("<td>x</div>y</td></table></p>z").text() == "xy\tz"
     assert [p.text() for p in html.tree("<p>a<p>b<button><p>c</button>d</p>e").find(tag="p")] == ["a", "b\nc\nd", "c"]
 

@@ -18,10 +18,13 @@ def chat(spark: SparkSession, message: str, index: retrieve.Index, n: int = conf
     queries = spark.createDataFrame([(0, message)], "query_id int, query string")
     plan = planner(queries).select("plan.*").first()
     found = retrieve.retrieve(queries, index, n, planner, **more).cache()
-    context = providers.context(found).first()
-    out = {"answer": generate(plan.cleaned_query, context.context if context else providers.NOTHING), "sources": [r.asDict() for r in retrieve.sources(found).orderBy("rank").drop("query_id", "rank").collect()], "cleaned_query": plan.cleaned_query, "sub_queries": list(plan.sub_queries)}
-    found.unpersist()
-    return out
+    try:
+        context = providers.context(found).first()
+        answer = generate(plan.cleaned_query, context.context if context else providers.NOTHING)
+        rows = retrieve.sources(found).orderBy("rank").drop("query_id", "rank").collect()
+    finally:
+        found.unpersist()
+    return {"answer": answer, "sources": [r.asDict() for r in rows], "cleaned_query": plan.cleaned_query, "sub_queries": list(plan.sub_queries)}
 
 
 def health(spark: SparkSession, path: str, models: dict[str, str] | None = None) -> DataFrame:

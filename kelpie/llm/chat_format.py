@@ -221,7 +221,8 @@ def repaired_turns(spark: SparkSession, turns: DataFrame, block: int = BLOCK) ->
     made, from 0. rendered: what the row adds to the conversation's text; joined in the order of out_turn and turn they
     are all of it. Turns are ordered by turn (null first), role and text. Null and unknown roles are relabelled, a null
     text is empty, rows with a null conv_id are one conversation. Repeated rows are turns of their own; other columns are
-    ignored. block: turns in a block, which the rows don't depend on.
+    ignored. block: turns in a block, which the rows don't depend on. Texts are rendered as they are: a text that holds
+    the marks <|end|> or <|user|> itself can't be told from turns; who needs that has to escape them before.
     """
     prepare(spark)
     scratch = Scratch(spark, "chat")

@@ -5,9 +5,10 @@ a run of spaces or a newline: a text falls into pre-tokens whose numbers of toke
 model is loaded; a model without the property is applied to whole texts.
 
 First tier: lengths of the most frequent pre-tokens of all texts, broadcast (at most `frequent` entries, so of bounded
-size). Second tier: each worker encodes misses once and keeps them in a cache of at most CACHE entries. No pre-token
-is shuffled: the frequent ones come from one pass over all texts in which a task keeps a bounded sketch of counts, one
-row, and the sketches are merged in a tree. They decide what is looked up first, not what is counted.
+size). Second tier: each worker encodes misses once and keeps them in a cache of at most CACHE entries. No text's
+pre-tokens are shuffled: the frequent ones come from one pass over all texts in which a task keeps a bounded sketch of
+counts, and only these sketches, one row a task with up to SKETCH pre-tokens, are sent and merged in a tree. They decide
+what is looked up first, not what is counted.
 """
 
 from __future__ import annotations

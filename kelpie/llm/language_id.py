@@ -32,7 +32,7 @@ NAMES = sorted({s for _, s in SCRIPTS})
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _OF = np.array([NAMES.index(s) for _, s in SCRIPTS])
 BUCKETS, PENALTY, FAR = 1 << 17, 12.0, -40.0
-CACHE = 600_000
+CACHE = 400_000
 #: Buckets in a row of counts.
 CHUNK = 1 << 14
 SHARE = 0.02

@@ -29,7 +29,7 @@ from kelpie.llm.common import Scratch, in_slices, prepare
 #: A single space belongs to what follows it and a longer run ends before its last space, so tokens never cross the
 #: beginning of a run of spaces: each such part of a text is encoded by itself.
 PART = re.compile(r" *[^ ]+| +")
-CACHE, LONG = 600_000, 64
+CACHE, LONG = 400_000, 64
 #: Fixed value: the words of byte-level BPE.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A token the files of this kind have, which stands between parts that are encoded together.

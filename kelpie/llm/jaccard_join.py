@@ -8,15 +8,15 @@ text to every region. So the regions are made in two levels:
    (an additively weighted Voronoi diagram), and its window are all regions that a set within the threshold can have
    as its own: as such a set lacks at most floor(n / 10) of its n shingles (at 0.9), those are its floor(n / 10) + 1
    lightest shingles. Two linked sets meet in a region, whatever the weights are; rare-first weights keep regions small.
-2. In a region a set is a count vector of 64 hash bins. L1 distance of these is a metric that never exceeds the
+2. In a region a set is a count vector of 256 hash bins. L1 distance of these is a metric that never exceeds the
    symmetric difference. Regions over LEAF sets are split by pivots taken from the sets themselves; a set within
    twice the threshold of another pivot's border, by the triangle inequality, is copied there; recursively.
 
 As components are asked for, a leaf yields a spanning forest of the pairs within the L1 bound, not all of them. The
 forests of all regions fall into families, each set in one: two linked sets are in the same. A spanning forest of each
-family is verified on the whole sets; where all of it holds, the family is a component. Where a pair fails, the
-family's sets meet once more, whole, and a forest of verified links is grown between the components it has so far; so
-no link between different components is lost, and none that isn't verified is used.
+family is verified on the whole sets, which meet in one task where it can hold them; where all of it holds, the family
+is a component. Where a pair fails, a forest of verified links is grown between the components it has so far; so no link
+between different components is lost, and none that isn't verified is used.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import FEW, Scratch, components, in_slices, prepare
 from kelpie.llm.shingles import U, mix, shingle_sets
 
-BINS = 64
+#: Hash bins of a set's counts in regions, and of whole sets; by their bits.
+BIN_BITS, WIDE_BITS = 8, 10
+BINS = 1 << BIN_BITS
 #: Frequencies are counted in so many hash buckets, a fixed size: they only order the pivots, any order is exact.
 BUCKETS = 1 << 20
 CHUNK = 1 << 14
-#: Sets in a region that isn't split by pivots; sets in a region that one task gets.
-LEAF, REGION = 512, 2048
+#: Sets in a region that isn't split by pivots; sets in a region that one task gets; shingles of whole sets that it gets, about.
+LEAF, REGION, WHOLE = 512, 8192, 1 << 23
 SEEN = 1 << 20
 SECOND = 0x2545F4914F6CDD1D
 FILTER_BITS, CELL_BITS = 1 << 23, 1 << 26
@@ -63,7 +65,7 @@ def _describe(width: int):
                 n.append(len(s))
                 cls.append(_class(s))
                 cls2.append(_class(s, SECOND))
-                sketch.append(np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                sketch.append(np.minimum(np.bincount((s >> U(64 - BIN_BITS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 seen.append(s)
             if seen:
                 total += np.bincount(((np.concatenate(seen) >> U(20)) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
@@ -310,33 +312,40 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
+def _grown(ids: list, label: np.ndarray, sets: list[np.ndarray], low: int) -> list[tuple[int, int]]:
+    """Verified links that join all components, given by label, that links join."""
+    n = np.array([len(s) for s in sets])
+    sk = np.stack([np.minimum(np.bincount((s.view(U) >> U(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS), 255) for s in sets]).astype(np.int16)
+    label, links = label.copy(), []
+    for i in range(len(sets) - 1):
+        js = np.arange(i + 1, len(sets))
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        for j in js[_near(n, sk, i, js, low)].tolist():
+            if label[j] != label[i] and _linked(sets[i], sets[j], low):
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _linked(x: np.ndarray, y: np.ndarray, low: int) -> bool:
+    both = _common(x, y)
+    return 100 * both >= low * (len(x) + len(y) - both)
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+
 def _families(low: int):
     """Rows (region, id, comp, items), sorted by region, to verified links (a, b) that join all components that links join."""
 
-    def forest(ids: list, comps: list, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        n = np.array([len(s) for s in sets])
-        wide = 4 * BINS
-        sk = np.stack([np.minimum(np.bincount((s.view(U) >> U(56)).astype(np.int64), minlength=wide), 255) for s in sets]).astype(np.int16)
-        label = np.unique(np.array(comps), return_inverse=True)[1]
-        links = []
-        for i in range(len(sets) - 1):
-            js = np.arange(i + 1, len(sets))
-            js = js[label[js] != label[i]]
-            if not len(js):
-                continue
-            for j in js[_near(n, sk, i, js, low)].tolist():
-                if label[j] != label[i]:
-                    both = _common(sets[i], sets[j])
-                    if 100 * both >= low * (int(n[i] + n[j]) - both):
-                        links.append((ids[i], ids[j]))
-                        label[label == label[j]] = label[i]
-        return links
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict = {"region": None}
 
         def flush() -> list[tuple[int, int]]:
-            return forest(rest["ids"], rest["comps"], rest["sets"]) if rest["region"] is not None else []
+            return _grown(rest["ids"], np.unique(np.array(rest["comps"]), return_inverse=True)[1], rest["sets"], low) if rest["region"] is not None else []
 
         for batch in batches:
             links = []
@@ -347,9 +356,41 @@ def _families(low: int):
                 rest["ids"].append(i)
                 rest["comps"].append(c)
                 rest["sets"].append(s.values.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-        links = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            yield _pairs(links)
+        yield _pairs(flush())
+
+    return run
+
+
+def _whole(low: int):
+    """Rows (family, a, b, items), sorted by family: whole families' sets, each as its id a, and a spanning forest of their pairs (a, b), to verified links that join all that links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, pairs = None, {}, []
+
+        def flush() -> list[tuple[int, int]]:
+            ids = list(sets)
+            at = {x: k for k, x in enumerate(ids)}
+            label, links = np.arange(len(ids)), []
+            for a, b in pairs:
+                i, j = at[a], at[b]
+                if label[i] != label[j] and _linked(sets[a], sets[b], low):
+                    links.append((a, b))
+                    label[label == label[j]] = label[i]
+            return links + (_grown(ids, label, list(sets.values()), low) if len(np.unique(label)) > 1 else [])
+
+        for batch in batches:
+            links = []
+            for f, a, b, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if f != now:
+                    links += flush() if sets else []
+                    now, sets, pairs = f, {}, []
+                if b is None:
+                    sets[a] = s.values.to_numpy()
+                else:
+                    pairs.append((a, b))
+            yield _pairs(links)
+        yield _pairs(flush() if sets else [])
 
     return run
 
@@ -459,35 +500,47 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, low
     pairs = scratch.save(couples.unionByName(edges).distinct(), "pairs")
     scratch.drop("members", "kept")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = scratch.save(classes.join(ids, "id").select("id", "doc", "n", "cls", "cls2"), "ids")
+    # Families that one task can hold are verified there, each set of them shuffled once; others edge by edge.
+    family = components(scratch, pairs, "cc-f")
+    ids = family.withColumnRenamed("component_id", "family").join(classes.select("id", "doc", "n", "cls", "cls2"), "id")
+    size = ids.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(REGION)), F.ceil(F.sum("n") / F.lit(WHOLE))).cast("int").alias("parts"))
+    size = scratch.save(size, "sizes")
+    ids = scratch.save(ids.join(size.select("family", (F.col("parts") > 1).alias("large")), "family"), "ids")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
     wanted = spark.sparkContext.broadcast(_bits(ids, at("doc"), FILTER_BITS))
     read = docs.where("doc_id is not null").select("doc_id", "text", at("doc_id").alias("p")).transform(in_slices, _sets(width, wanted), "doc long, n long, cls long, cls2 long, items array<long>")
-    sets = scratch.save(read.join(ids, ["doc", "n", "cls", "cls2"]).dropDuplicates(["doc", "n", "cls", "cls2"]).select("id", "items"), "sets")
+    own_ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    sets = scratch.save(read.join(own_ids, ["doc", "n", "cls", "cls2"]).select("id", "family", "large", "items"), "sets")
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # rows that come twice
+        sets = scratch.save(sets.dropDuplicates(["id"]), "single-sets")
+    of = ids.select(F.col("id").alias("a"), "family", "large")
+    pairs = pairs.join(of, "a")
 
     # Of a family's pairs a spanning forest is verified; where all of it holds, the family is a component.
-    family = components(scratch, pairs, "cc-f")
-    of = family.select(F.col("id").alias("a"), F.col("component_id").alias("family"))
-    parts = pairs.join(of, "a")
-    count = parts.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FEW)).cast("int").alias("parts"))
-    parts = parts.join(count, "family").select(F.xxhash64("family", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).alias("part"), "a", "b")
-    forest = scratch.save(parts.repartition("part").sortWithinPartitions("part").transform(in_slices, _thin, "a long, b long"), "forest")
-    one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    links = scratch.save(forest.join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked")), "links")
-    comps = family
-    if not links.where("not linked").isEmpty():
-        failed = scratch.save(links.where("not linked").join(of, "a").select("family").distinct(), "failed")
+    def forest(of_pairs: DataFrame, tag: str) -> DataFrame:
+        count = of_pairs.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FEW)).cast("int").alias("parts"))
+        parts = of_pairs.join(count, "family").select(F.xxhash64("family", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).alias("part"), "a", "b")
+        return scratch.save(parts.repartition("part").sortWithinPartitions("part").transform(in_slices, _thin, "a long, b long"), tag)
+
+    none = F.lit(None).cast("array<long>")
+    small = forest(pairs.where("not large"), "forest").join(of, "a").select("family", "a", "b", none.alias("items"))
+    small = small.unionByName(sets.where("not large").select("family", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items"))
+    comps = scratch.save(small.repartition("family").sortWithinPartitions("family").transform(in_slices, _whole(low), "a long, b long"), "links")
+    if not size.where("parts > 1").isEmpty():
+        large = sets.where("large")
+        one, two = large.select(F.col("id").alias("a"), F.col("items").alias("x")), large.select(F.col("id").alias("b"), F.col("items").alias("y"))
+        both = F.size(F.array_intersect("x", "y")).cast("long")
+        links = forest(pairs.where("large"), "large-forest").join(one, "a").join(two, "b").select("a", "b", (100 * both >= low * (F.size("x") + F.size("y") - both)).alias("linked"))
+        links = scratch.save(links, "large-links")
         linked = links.where("linked").select("a", "b")
-        comps = components(scratch, linked, "cc-a")
-        own_family = family.withColumnRenamed("component_id", "family").join(failed, "family", "left_semi")
-        size = own_family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(REGION)).cast("int").alias("parts"))
-        rows = own_family.join(size, "family").join(comps, "id", "left").select("family", "parts", "id", F.coalesce("component_id", "id").alias("comp"))
-        pair = F.when(F.col("parts") == 1, F.array(F.col("family"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("family", F.least(k, part), F.greatest(k, part))))
-        rows = rows.select(F.explode(pair).alias("region"), "id", "comp").join(sets, "id").select("region", "id", "comp", "items")
+        failed = scratch.save(links.where("not linked").join(of, "a").select("family").distinct(), "failed")
+        so_far = components(scratch, linked, "cc-a")
+        rows = ids.select("id", "family").join(failed, "family", "left_semi").join(size, "family").join(so_far, "id", "left").select("family", "parts", "id", F.coalesce("component_id", "id").alias("comp"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("family", F.least(k, part), F.greatest(k, part)))
+        rows = rows.select(F.explode(pair).alias("region"), "id", "comp").join(large.select("id", "items"), "id").select("region", "id", "comp", "items")
         more = rows.repartition("region").sortWithinPartitions("region", "comp", "id").transform(in_slices, _families(low), "a long, b long")
-        comps = components(scratch, scratch.save(linked.unionByName(more), "all-links"), "cc-b")
+        comps = scratch.save(comps.unionByName(linked).unionByName(more), "all-links")
+    comps = components(scratch, comps, "cc-b")
     members = comps.join(classes.select("id", "doc"), "id")
     first = members.groupBy("component_id").agg(F.min("doc").alias("first"))
     firsts = members.join(first, "component_id").select("id", "first")

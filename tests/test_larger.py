@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from kelpie.operators import cells, inverted
+from kelpie.plans import queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 def final_plan(df) -> str:
@@ -24,3 +27,13 @@ def test_copies_of_queries_are_not_broadcast(spark):
     near = cells.visited(docs.select(F.col("id").alias("query_id"), "embedding"), cells.build(docs, models=models), 3, models)
     for joins in (copied_joins(words), copied_joins(near)):
         assert joins and not any("Broadcast" in j for j in joins)
+
+
+def test_pages_are_parsed_once_in_many_tasks(spark, tmp_path):
+    part = spark.read.parquet(f"{DATA}/part.parquet").coalesce(1)
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("enriched_products", "described_products", "page_faqs"):
+        plan = final_plan(queries.QUERIES[name](spark, str(tmp_path)))
+        assert plan.count("ArrowEvalPython") == 1, name
+        below = plan[plan.index("ArrowEvalPython") :]
+        assert "REPARTITION_BY_NUM" in below, name

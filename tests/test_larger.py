@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from kelpie.operators import cells, inverted
@@ -39,3 +40,12 @@ def test_pages_are_parsed_once_in_many_tasks(spark, tmp_path):
         assert plan.count("ArrowEvalPython") == 1, name
         below = plan[plan.index("ArrowEvalPython") :]
         assert "REPARTITION_BY_NUM" in below, name
+
+
+def test_headings_with_references_as_in_sql(spark, tmp_path):
+    pages = [(1, "u1", "<h1>a &amp; b&amp</h1>"), (2, "u2", "<h1>x = &quot;0&quot; &lt;i&gt;</h1>"), (3, "u3", "<h1> &eacute;&#39;&amp;lt; </h1>"), (4, "u4", "<p>no</p>"), (5, "u5", "<h1> </h1>"), (6, "u6", "<h1>a & b &amp;amp;\n c</h1>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.h1_backfill(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["h1_backfill"]).fetchall())

@@ -49,3 +49,8 @@ def test_headings_with_references_as_in_sql(spark, tmp_path):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     got = queries.h1_backfill(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["h1_backfill"]).fetchall())
+
+
+def test_ids_of_a_series_are_joined_once_for_each_name(spark):
+    plan = final_plan(queries.series_expand(spark, DATA))
+    assert "array_join" not in plan[: plan.index("Join ")]  # nothing above a join works on a query's ids

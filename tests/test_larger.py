@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from kelpie.operators import cells, inverted
+from kelpie.operators import cells, inverted, lexical
 from kelpie.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +54,8 @@ def test_headings_with_references_as_in_sql(spark, tmp_path):
 def test_ids_of_a_series_are_joined_once_for_each_name(spark):
     plan = final_plan(queries.series_expand(spark, DATA))
     assert "array_join" not in plan[: plan.index("Join ")]  # nothing above a join works on a query's ids
+
+
+def test_postings_are_not_shuffled(spark):
+    plan = final_plan(lexical.postings(spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c")], "id long, text string")))
+    assert plan.count("Exchange") == 1

@@ -56,6 +56,6 @@ def test_ids_of_a_series_are_joined_once_for_each_name(spark):
     assert "array_join" not in plan[: plan.index("Join ")]  # nothing above a join works on a query's ids
 
 
-def test_postings_are_not_shuffled(spark):
+def test_texts_are_shuffled_not_postings(spark):
     plan = final_plan(lexical.postings(spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c")], "id long, text string")))
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id#" in plan

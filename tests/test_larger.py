@@ -59,3 +59,15 @@ def test_ids_of_a_series_are_joined_once_for_each_name(spark):
 def test_texts_are_shuffled_not_postings(spark):
     plan = final_plan(lexical.postings(spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c")], "id long, text string")))
     assert plan.count("Exchange") == 1 and "hashpartitioning(id#" in plan
+
+
+def test_all_documents_and_vectors_are_asked_and_found(spark, tmp_path):
+    rng = random.Random(7)
+    spark.createDataFrame([(i, " ".join(f"w{rng.randrange(200)}" for _ in range(9))) for i in range(40, 260)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in [*range(110), 400, 401]], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.rrf_fusion(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0, 50, 100, 150, 200, 250, 400}  # some have a vector only, some a text only
+    assert {r.id for r in got} & {401, 400, 0} and sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["rrf_fusion"]).fetchall())

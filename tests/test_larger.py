@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from kelpie.operators import cells, inverted, lexical
@@ -71,3 +72,12 @@ def test_all_documents_and_vectors_are_asked_and_found(spark, tmp_path):
     got = queries.rrf_fusion(spark, str(tmp_path)).collect()
     assert {r.query_id for r in got} == {0, 50, 100, 150, 200, 250, 400}  # some have a vector only, some a text only
     assert {r.id for r in got} & {401, 400, 0} and sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["rrf_fusion"]).fetchall())
+
+
+def test_few_rows_of_an_index_are_held_at_a_time(spark, monkeypatch):
+    kept, write = [], lexical.written
+    monkeypatch.setattr(lexical, "written", lambda *a: kept.append(write(*a)) or kept[-1])
+    docs = spark.range(40_000).select("id", F.concat_ws(" ", F.lit("a"), F.concat(F.lit("b"), "id")).alias("text"))
+    assert [r.id for r in lexical.bm25(spark.createDataFrame([(1, "b7")], "query_id long, query string"), docs, 3).collect()] == [7]
+    groups = [f.metadata.row_group(i).num_rows for p in kept[0].inputFiles() for f in [pq.ParquetFile(p.removeprefix("file://"))] for i in range(f.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= 2

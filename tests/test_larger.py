@@ -6,7 +6,7 @@ import duckdb
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from kelpie.operators import cells, inverted, lexical
+from kelpie.operators import cells, inverted, lexical, routing
 from kelpie.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -81,3 +81,15 @@ def test_few_rows_of_an_index_are_held_at_a_time(spark, monkeypatch):
     assert [r.id for r in lexical.bm25(spark.createDataFrame([(1, "b7")], "query_id long, query string"), docs, 3).collect()] == [7]
     groups = [f.metadata.row_group(i).num_rows for p in kept[0].inputFiles() for f in [pq.ParquetFile(p.removeprefix("file://"))] for i in range(f.num_row_groups)]
     assert sum(groups) > 20 and max(groups) <= 2
+
+
+def test_ids_stand_in_no_sort_of_queries(spark):
+    """Lists of ids are joined last, a copy for some queries each, so they aren't carried with every query through a shuffle or a sort."""
+    products = spark.createDataFrame([(f"p{i}", f"abc {i % 3}", i) for i in range(60)], "pid string, name string, ord long")
+    bases = routing.base_to_ids(products)
+    asks = spark.createDataFrame([(i, ["giá abc 1", "dòng abc 2", "abc"][i % 3]) for i in range(90)], "query_id long, query string")
+    matched = routing.longest_match(asks, bases)
+    tree = routing.series_ids(matched, bases)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("Join ") == 1 and "part#" in tree.split("Join ")[1].splitlines()[0]
+    want = {i: sorted(f"p{j}" for j in range(60) if j % 3 == 1 + i % 3) for i in range(90) if i % 3 < 2}
+    assert {r.query_id: r.pids for r in routing.series_ids(matched, bases, copies=8).collect()} == want
